@@ -9,7 +9,7 @@ from ..functions.names import concept_key
 from ..plans.registry import Registry
 from ..session import cut, small
 from ..sources.tables import table
-from . import leakage, survivors
+from . import labels, leakage, survivors
 
 R = Registry()
 SQL_KEY = "regexp_replace(lower(regexp_replace(concept, '[\\s\\x{00A0}]+', '', 'g')), '^([^:_]*)[:_]', '\\1:')"
@@ -86,6 +86,43 @@ def p2_survivors(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+# -- mapping free-entered values to the canonical list --------------------------------------------------------------
+
+
+def typed_labels(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(labels of lines, labels of members) that are not an entry of the canonical list as they stand."""
+    entries = table(spark, root, "canonical_labels")
+    exact = [r.label for r in entries.select("label").collect()]  # a fixed list
+    o = table(spark, root, "concept_normalization_overrides")
+    lines = labels.typed_rows(table(spark, root, "financial_facts"), "label", F.col("id").cast("string"), "label").unionByName(
+        labels.typed_rows(o, "normalized_label", F.concat_ws("/", F.col("company_id").cast("string"), "statement", "concept"), "normalized_label")
+    )
+    members = labels.typed_rows(table(spark, root, "dimension_normalization_overrides"), "member_label", F.col("id").cast("string"), "member_label")
+    odd = F.col("typed").isNotNull() & ~F.col("typed").isin(exact)
+    return lines.where(odd), members.where(odd)
+
+
+def mapped_labels(spark: SparkSession, root: str) -> DataFrame:
+    """field, row_key, typed and label_id of every label typed otherwise than the canonical list has it."""
+    lines, members = typed_labels(spark, root)
+    entries = table(spark, root, "canonical_labels")
+    return labels.map_labels(lines, "typed", labels.canonical(entries, ["line_item", "heading"])).unionByName(
+        labels.map_labels(members, "typed", labels.canonical(entries, ["member"]))
+    )
+
+
+@R.add()
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The entry meant by each typed label, 0 if there is none."""
+    return mapped_labels(spark, root).select("field", "row_key", "label_id")
+
+
+@R.add()
+def p4_unmatched(spark: SparkSession, root: str) -> DataFrame:
+    """Report of typed labels that stand for no entry, with the number of rows that carry them."""
+    return mapped_labels(spark, root).where("label_id = 0").groupBy("field", "typed").agg(F.count("*").alias("n_rows"))
+
+
 # -- evaluation texts leaking into training text --------------------------------------------------------------------
 
 
