@@ -9,7 +9,7 @@ from ..functions.names import concept_key
 from ..plans.registry import Registry
 from ..session import cut, small
 from ..sources.tables import table
-from . import labels, leakage, survivors
+from . import labels, leakage, packing, pii, survivors
 
 R = Registry()
 SQL_KEY = "regexp_replace(lower(regexp_replace(concept, '[\\s\\x{00A0}]+', '', 'g')), '^([^:_]*)[:_]', '\\1:')"
@@ -123,6 +123,15 @@ def p4_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return mapped_labels(spark, root).where("label_id = 0").groupBy("field", "typed").agg(F.count("*").alias("n_rows"))
 
 
+# -- filling containers ---------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every document, or of every piece of a document that exceeds one."""
+    return packing.fill_containers(packing.pieces(table(spark, root, "documents")))
+
+
 # -- evaluation texts leaking into training text --------------------------------------------------------------------
 
 
@@ -148,3 +157,18 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
     """Affected documents and items, with verbatim and re-parameterised windows counted apart."""
     return leakage.leaks(_leaked(spark, root))
+
+
+# -- personal information -------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """One row per personal detail of a document."""
+    return pii.details(table(spark, root, "documents")).select("doc_id", "kind", "start_pos")
+
+
+@R.add()
+def p9_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its personal details replaced by placeholders."""
+    return pii.redact(table(spark, root, "documents"))
