@@ -142,4 +142,4 @@ def fill_containers(
         return group.drop(columns="__s")
 
     schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", container long"
-    return dealt.groupBy("__s").applyInPandas(pack_shard, schema)
+    return dealt.repartition(shards, "__s").groupBy("__s").applyInPandas(pack_shard, schema)
