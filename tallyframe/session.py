@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Largest estimated size (bytes) of a side that may be broadcast by `small`; beyond it the join shuffles.
 BROADCAST_LIMIT = 48 << 20
+#: An estimate beyond this (bytes) is a product of estimates, not a size.
+UNREAL_SIZE = 1 << 50
 
 
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
@@ -38,9 +40,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the checkpoint folder and go on from the written copy.
+
+    The copy would keep the size the optimizer estimated for `df` and the constraints it derived. In a loop of joins both
+    grow with every round (the size to numbers of thousands of digits), until planning takes longer than the work. So
+    no constraints are derived here, and an estimate beyond any real size is forgotten.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", before)
+    if estimated_bytes(out) > UNREAL_SIZE:
+        j = out._jdf
+        bare = j.sparkSession().internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False)
+        return DataFrame(bare, spark)
+    return out
 
 
 def estimated_bytes(df: DataFrame) -> int:
