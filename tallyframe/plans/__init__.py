@@ -6,5 +6,6 @@ from __future__ import annotations
 def registries() -> list:
     """The registries of the core library."""
     from .curation import R as curation
+    from .pipeline_queries import R as pipeline
 
-    return [curation]
+    return [curation, pipeline]
