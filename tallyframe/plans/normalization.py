@@ -7,10 +7,11 @@ ancestor that a filing does not report. Both engines can compare them, and two c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graphs import components, follow, longest_walks
+from ..operators.graphs import MOST_ROUNDS, components, follow
+from ..operators.hierarchy import breaks
 from ..operators.matching import best_match, drop_ambiguous, keep_first, value_matches
 from ..operators.series import flip_sign, next_matching, residual, undo_running_total, with_latest
 from ..session import cut, small
@@ -412,14 +413,19 @@ def rolled_up(rows: DataFrame) -> DataFrame:
     Contributions are summed per node in every round, so a round handles one row per node whatever the number of leaves.
     """
     wide = "decimal(38,10)"
-    links = cut(rows.where("is_synthetic and not is_abstract").select(F.col("id").alias("node"), "parent_id", F.coalesce("weight", F.lit(1)).alias("w")).distinct())
+    made = rows.where("is_synthetic and not is_abstract").groupBy(F.col("id").alias("node"), "parent_id", F.coalesce("weight", F.lit(1)).alias("w")).agg(F.count("*").alias("times"))
+    made = cut(made)
+    # what stands on or below a cycle of synthetic ancestors has no sum
+    endless = breaks(made, ["node"], ["parent_id"]).where("verdict <> 'orphan'").select("node")
+    links = cut(made.join(endless, "node", "left_anti"))
     leaf = rows.where("not is_abstract and not is_synthetic").select(
         F.col("parent_id").alias("node"), (F.col("value") * F.col("weight")).cast(wide).alias("v"), (F.col("comparative_value") * F.col("weight")).cast(wide).alias("c")
     )
     edge = cut(leaf.where("node is not null").groupBy("node").agg(F.sum("v").cast(wide).alias("v"), F.sum("c").cast(wide).alias("c")))
     total = None
-    for _ in range(60):
-        here = cut(edge.join(links, "node").select("node", "parent_id", (F.col("v") * F.col("w").cast("decimal(9,4)")).cast(wide).alias("v"), (F.col("c") * F.col("w").cast("decimal(9,4)")).cast(wide).alias("c")))
+    w = (F.col("w") * F.col("times")).cast("decimal(12,4)")
+    for _ in range(MOST_ROUNDS):
+        here = cut(edge.join(links, "node").select("node", "parent_id", (F.col("v") * w).cast(wide).alias("v"), (F.col("c") * w).cast(wide).alias("c")))
         if here.isEmpty():
             break
         total = here.drop("parent_id") if total is None else total.unionByName(here.drop("parent_id"))
@@ -428,7 +434,7 @@ def rolled_up(rows: DataFrame) -> DataFrame:
         raise RuntimeError("the roll-up does not end")
     if total is None:
         return rows.withColumns({c: F.when(F.col("is_synthetic"), F.lit(None).cast(MONEY)).otherwise(F.col(c)) for c in ("value", "comparative_value")})
-    # a node may stand in several rows (parents, periods); each gets the sum over the node's distinct rows
+    # a node may stand in several rows (of other parents or periods); it passes on as much for each of them
     sums = total.groupBy("node").agg(F.sum("v").cast(MONEY).alias("__v"), F.sum("c").cast(MONEY).alias("__c"))
     j = rows.join(sums, F.col("id") == F.col("node"), "left")
     return j.withColumns({
@@ -450,18 +456,17 @@ def chain_sizes(rows: DataFrame) -> DataFrame:
     key = SERIES
     r = rows.select("id", "is_synthetic", *key, "concept", "value", "period_end", "comparative_value", "comparative_period_end").distinct()
     r = cut(r.withColumn("node", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in r.columns]))))
-    one = keep_first(r, [*key, "value", "period_end"], [*_id_order(), F.col("node")])
+    one = keep_first(r, [*key, "value", "period_end"], [*_id_order(), *[F.asc_nulls_last(c) for c in ("concept", "comparative_value", "comparative_period_end")]])
     to = cut(one.select(*key, F.col("concept").alias("t_concept"), F.col("value").alias("t_value"), F.col("period_end").alias("t_end"), F.col("node").alias("dst")))
     start = r.where("comparative_period_end is not null").select(F.col("node").alias("src"), *key, "concept", "period_end", "comparative_value", "comparative_period_end")
-    by_value = start.join(to, key).where("t_value = comparative_value and t_end = comparative_period_end and t_end < period_end").select("src", "dst")
-    by_value = cut(by_value)
+    by_value = cut(start.join(to, key).where("t_value = comparative_value and t_end = comparative_period_end and t_end < period_end").select("src", "dst"))
     by_concept = start.join(by_value.select("src"), "src", "left_anti").join(to, key).where("t_concept = concept and t_end = comparative_period_end and t_end < period_end").select("src", "dst")
-    # walks begin only where there is something to compare with
     edges = cut(by_value.unionByName(by_concept))
-    roots = r.where("comparative_value is not null and comparative_period_end is not null").select("node")
-    reach = roots.union(edges.select(F.col("dst").alias("node")))
-    sizes = longest_walks(edges.join(reach.distinct().withColumnRenamed("node", "src"), "src", "left_semi"), r.select("node"))
-    return r.select("id", "node").join(sizes, "node").groupBy("id").agg(F.max("size").alias("chain_size"))
+    roots = r.where("comparative_value is not null and comparative_period_end is not null").select(F.col("node").alias("root"), "node", F.lit(1).alias("depth"))
+    walks = follow(roots, lambda at: at.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
+    size = walks.groupBy("root").agg(F.max("depth").alias("chain_size"))
+    through = walks.select("root", "node").distinct().join(size, "root").groupBy("node").agg(F.max("chain_size").alias("chain_size"))
+    return r.select("id", "node").join(through, "node").groupBy("id").agg(F.max("chain_size").alias("chain_size"))
 
 
 def normalized(rows: DataFrame) -> DataFrame:
@@ -471,8 +476,6 @@ def normalized(rows: DataFrame) -> DataFrame:
     """
     rows = cut(rolled_up(rows))
     sized = rows.join(chain_sizes(rows), "id", "left")
-    from pyspark.sql import Window
-
     rank = [F.when(F.col("form_type").isin("10-K/A", "10-Q/A"), 0).otherwise(1), F.coalesce("chain_size", F.lit(1)).desc(), *_id_order()]
     tie = [F.asc_nulls_last(c) for c in ("value", "comparative_value", "parent_id", "abstract_id", "concept", "label", "weight", "unit", "comparative_period_end", "period", "position")]
     w = Window.partitionBy(*SERIES, "period_end").orderBy(*rank, *tie)

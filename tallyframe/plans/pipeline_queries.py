@@ -286,13 +286,83 @@ def dimension_chain(spark: SparkSession, root: str) -> DataFrame:
     return N.dimensions(base, s.concept_rules, s.dimension_rules, cut(N.concepts(base, s.concept_rules)))
 
 
-@R.add()
+_FIND = """LEFT JOIN hn h ON h.company_id = {x}.company_id AND h.statement = {x}.statement AND h.concept = {c}
+        LEFT JOIN base fp ON fp.company_id = {x}.company_id AND fp.filing_id = {x}.filing_id AND fp.statement = {x}.statement AND fp.concept = coalesce(r.parent_concept, h.parent_concept)
+        LEFT JOIN base fa ON fa.company_id = {x}.company_id AND fa.filing_id = {x}.filing_id AND fa.statement = {x}.statement AND fa.concept = r.abstract_concept"""
+_LINKS = """CASE WHEN coalesce(r.parent_concept, h.parent_concept) IS NULL THEN {p} ELSE coalesce(fp.id::VARCHAR, concat_ws('|', {x}.statement, coalesce(r.parent_concept, h.parent_concept_source), {x}.filing_id, {x}.company_id)) END AS parent_id,
+        CASE WHEN fp.id IS NULL THEN coalesce(r.parent_concept, h.parent_concept_source) END AS parent_concept,
+        CASE WHEN r.abstract_concept IS NULL THEN {a} ELSE coalesce(fa.id::VARCHAR, concat_ws('|', {x}.statement, r.abstract_concept, {x}.filing_id, {x}.company_id)) END AS abstract_id,
+        CASE WHEN fa.id IS NULL THEN r.abstract_concept END AS abstract_concept"""
+SQL_ROWS = f"""
+    {SQL_DIMENSIONS},
+    rws AS (
+        SELECT b.id::VARCHAR AS id, b.company_id, b.filing_id, b.form_type, b.concept, b.label, coalesce(r.normalized_label, c.normalized_label, b.label) AS normalized_label, b.is_abstract,
+               (CASE WHEN sign(b.weight) * sign(coalesce(r.weight, c.weight, b.weight)) < 0 THEN -b.value ELSE b.value END)::DECIMAL(28,6) AS value,
+               (CASE WHEN sign(b.weight) * sign(coalesce(r.weight, c.weight, b.weight)) < 0 THEN -b.comparative_value ELSE b.comparative_value END)::DECIMAL(28,6) AS comparative_value,
+               coalesce(r.weight, c.weight, b.weight) AS weight, coalesce(r.unit, c.unit, b.unit) AS unit, coalesce(d.normalized_axis_label, b.axis) AS axis, coalesce(d.normalized_member_label, b.member_label) AS member,
+               b.statement, b.period_end, b.comparative_period_end, b.period, b.position, {_LINKS.format(x="b", p="b.parent_id::VARCHAR", a="b.abstract_id::VARCHAR")}, false AS is_synthetic
+        FROM base b LEFT JOIN rule1 r ON r.for_co = b.company_id AND r.statement = b.statement AND r.concept = b.concept
+        {_FIND.format(x="b", c="b.concept")}
+        LEFT JOIN cn c ON c.company_id = b.company_id AND c.statement = b.statement AND c.concept = b.concept
+        LEFT JOIN dn d ON d.company_id = b.company_id AND d.statement = b.statement AND d.normalized_label = coalesce(r.normalized_label, c.normalized_label, b.label) AND d.axis = b.axis AND d.member = b.member AND d.member_label = b.member_label
+        UNION
+        SELECT w.id, x.company_id, x.filing_id, x.form_type, r.concept, r.normalized_label, r.normalized_label, r.is_abstract, 0, 0, r.weight, r.unit, '', '', x.statement, x.period_end, x.comparative_period_end, x.period, 99,
+               {_LINKS.format(x="x", p="NULL", a="NULL")}, true
+        FROM rws x, LATERAL (SELECT x.parent_concept AS c, x.parent_id AS id UNION ALL SELECT x.abstract_concept, x.abstract_id) w
+        JOIN rule1 r ON r.for_co = x.company_id AND r.statement = x.statement AND r.concept = w.c
+        {_FIND.format(x="x", c="w.c")})"""
+_S = ", ".join(N.SERIES)
+_ID = "is_synthetic, try_cast(id AS BIGINT), id"
+_TIE = ", ".join(f"{c} NULLS LAST" for c in ("value", "comparative_value", "parent_id", "abstract_id", "concept", "label", "weight", "unit", "comparative_period_end", "period", "position"))
+SQL_NORMALIZED = f"""
+    {SQL_ROWS},
+    syn AS (SELECT id AS node, parent_id AS up, coalesce(weight, 1)::DOUBLE AS w FROM rws WHERE is_synthetic AND NOT is_abstract),
+    above(node, up) AS (SELECT node, up FROM syn WHERE up IS NOT NULL UNION SELECT a.node, s.up FROM above a JOIN syn s ON s.node = a.up WHERE s.up IS NOT NULL),
+    endless AS (SELECT node FROM above WHERE up IN (SELECT node FROM above WHERE node = up) OR node = up),
+    carry(node, up, v, c, step) AS (
+        SELECT id, parent_id, value::DOUBLE * weight::DOUBLE, comparative_value::DOUBLE * weight::DOUBLE, 0 FROM rws WHERE NOT is_abstract AND NOT is_synthetic
+        UNION ALL SELECT s.node, s.up, sum(y.v) * any_value(s.w), sum(y.c) * any_value(s.w), y.step + 1 FROM carry y JOIN (SELECT *, row_number() OVER () AS rn FROM syn ANTI JOIN endless USING (node)) s ON s.node = y.up GROUP BY s.node, s.up, s.rn, y.step),
+    summed AS (SELECT node, sum(v) AS v, sum(c) AS c FROM carry WHERE step > 0 GROUP BY node),
+    rolled AS (SELECT r.* REPLACE ((CASE WHEN is_synthetic THEN round(s.v, 6) ELSE r.value END)::DECIMAL(28,6) AS value, (CASE WHEN is_synthetic THEN round(s.c, 6) ELSE r.comparative_value END)::DECIMAL(28,6) AS comparative_value)
+               FROM rws r LEFT JOIN summed s ON s.node = r.id),
+    pts AS (SELECT *, row_number() OVER () AS n FROM (SELECT DISTINCT id, is_synthetic, {_S}, concept, value, period_end, comparative_value AS cv, comparative_period_end AS ce FROM rolled)),
+    pick AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY {_S}, value, period_end ORDER BY {_ID}, concept NULLS LAST, cv NULLS LAST, ce NULLS LAST) = 1),
+    evalue AS (SELECT a.n AS src, b.n AS dst FROM pts a JOIN pick b USING ({_S}) WHERE b.value = a.cv AND b.period_end = a.ce AND b.period_end < a.period_end),
+    estep AS (SELECT * FROM evalue UNION ALL SELECT a.n, b.n FROM pts a JOIN pick b USING ({_S}, concept) WHERE b.period_end = a.ce AND b.period_end < a.period_end AND a.n NOT IN (SELECT src FROM evalue)),
+    trek(root, n, depth) AS (SELECT n, n, 1 FROM pts WHERE cv IS NOT NULL AND ce IS NOT NULL UNION SELECT t.root, e.dst, t.depth + 1 FROM trek t JOIN estep e ON e.src = t.n),
+    tall AS (SELECT root, max(depth) AS size FROM trek GROUP BY root),
+    sized AS (SELECT id, max(size) AS size FROM trek JOIN tall USING (root) JOIN pts USING (n) GROUP BY id),
+    dup AS (SELECT r.*, row_number() OVER (PARTITION BY {_S}, period_end ORDER BY CASE WHEN form_type LIKE '%/A' THEN 0 ELSE 1 END, coalesce(size, 1) DESC, {_ID}, {_TIE}) > 1 AS is_duplicate
+            FROM rolled r LEFT JOIN sized USING (id)),
+    nfacts AS (SELECT * EXCLUDE (parent_concept, abstract_concept) FROM dup QUALIFY row_number() OVER (PARTITION BY id ORDER BY is_duplicate, {_TIE}, period_end) = 1)"""
+_Q = f"OVER (PARTITION BY {_S} ORDER BY period_end DESC, {_ID} ROWS UNBOUNDED PRECEDING)"
+_ALIGN = f"""SELECT *, first_value(weight) {_Q} AS lw, first_value(abstract_id) {_Q} AS la, first_value(position) {_Q} AS lp FROM """
+_SET = "REPLACE ((CASE WHEN sign(weight) * sign(lw) < 0 THEN -value ELSE value END)::DECIMAL(28,6) AS value, lw AS weight, la AS abstract_id, lp AS position)"
+_OUT = ", ".join(c for c in N.OUT if c != "source_type")
+SQL_QUARTERLY = f"""
+    {SQL_NORMALIZED},
+    kin AS (SELECT id AS filing_id, company_id, fiscal_year, fiscal_quarter, CASE form_type WHEN '10-K' THEN id ELSE first_value(CASE form_type WHEN '10-K' THEN id END IGNORE NULLS)
+                OVER (PARTITION BY company_id ORDER BY fiscal_period_end, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS tag FROM fil WHERE form_type IN ('10-K', '10-K/A', '10-Q', '10-Q/A')),
+    even AS (SELECT * EXCLUDE (lw, la, lp) {_SET} FROM ({_ALIGN} nfacts JOIN kin USING (company_id, filing_id) WHERE NOT is_duplicate)),
+    qtr AS (SELECT * EXCLUDE (gap, was) REPLACE ((CASE WHEN period = 'YTD' AND gap BETWEEN 80 AND 100 AND was IS NOT NULL THEN value - was ELSE value END)::DECIMAL(28,6) AS value)
+            FROM (SELECT *, date_diff('day', lag(period_end) OVER s, period_end) AS gap, lag(value) OVER s AS was FROM even WHERE form_type LIKE '10-Q%'
+                  WINDOW s AS (PARTITION BY {_S} ORDER BY period_end, {_ID}))),
+    ann AS (SELECT *, statement = 'Balance Sheet' OR normalized_label ILIKE 'shares outstanding%' AS still FROM even WHERE form_type LIKE '10-K%'),
+    quarters AS (SELECT {_OUT}, form_type AS source_type FROM qtr UNION ALL SELECT {_OUT}, form_type FROM ann WHERE still
+        UNION ALL SELECT {_OUT.replace("value", "(value - taken)::DECIMAL(28,6)")}, 'calculated' FROM ann JOIN (SELECT {_S}, tag, sum(value) AS taken FROM qtr GROUP BY ALL) USING ({_S}, tag) WHERE NOT still)"""
+SQL_YEARLY = f"""
+    {SQL_NORMALIZED},
+    years AS (SELECT {_OUT.replace(" fiscal_quarter,", "")}, '10-K' AS source_type FROM (SELECT * {_SET} FROM ({_ALIGN} nfacts JOIN (SELECT id AS filing_id, company_id, fiscal_year FROM fil) USING (company_id, filing_id)
+              WHERE NOT is_duplicate AND form_type LIKE '10-K%')))"""
+
+
+@R.add(f"WITH RECURSIVE {SQL_ROWS} SELECT * FROM rws")
 def normalized_rows(spark: SparkSession, root: str) -> DataFrame:
     """S6: facts with their links, and rows for missing ancestors, before the roll-up."""
     return stages(spark, root).stage("rows")
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {SQL_NORMALIZED} SELECT * FROM nfacts")
 def normalized_facts(spark: SparkSession, root: str) -> DataFrame:
     """S6: normalized facts, rolled up and marked for duplicates."""
     return stages(spark, root).stage("normalized")
@@ -309,13 +379,13 @@ def next_annual_tag(spark: SparkSession, root: str) -> DataFrame:
     return N.fiscal_tags(filings(spark, root))
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {SQL_QUARTERLY} SELECT * FROM quarters")
 def quarterly_series(spark: SparkSession, root: str) -> DataFrame:
     """S7: quarterly series."""
     return stages(spark, root).stage("quarterly")
 
 
-@R.add()
+@R.add(f"WITH RECURSIVE {SQL_YEARLY} SELECT * FROM years")
 def yearly_series(spark: SparkSession, root: str) -> DataFrame:
     """S8: yearly series."""
     return stages(spark, root).stage("yearly")
