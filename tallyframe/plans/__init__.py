@@ -7,5 +7,6 @@ def registries() -> list:
     """The registries of the core library."""
     from .curation import R as curation
     from .pipeline_queries import R as pipeline
+    from .serving import R as serving
 
-    return [curation, pipeline]
+    return [curation, pipeline, serving]
