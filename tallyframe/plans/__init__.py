@@ -7,6 +7,8 @@ def registries() -> list:
     """The registries of the core library."""
     from .curation import R as curation
     from .pipeline_queries import R as pipeline
+    from .administration import R as administration
+    from .ingest import R as ingest
     from .serving import R as serving
 
-    return [curation, pipeline, serving]
+    return [curation, pipeline, serving, ingest, administration]
