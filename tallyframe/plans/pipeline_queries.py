@@ -21,7 +21,7 @@ R = Registry()
 
 @lru_cache(maxsize=2)
 def _stages(spark: SparkSession, application: str, root: str) -> Stages:
-    return Stages(spark, root)
+    return Stages.of(spark, root)
 
 
 def stages(spark: SparkSession, root: str) -> Stages:

@@ -53,12 +53,16 @@ def fact_rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Stages:
-    """The pipeline over one table folder, each stage computed once."""
+    """The pipeline over base tables and rules, each stage computed once."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.facts, self.filings = facts(spark, root), filings(spark, root)
-        self.concept_rules, self.dimension_rules = cut(concept_rules(spark, root)), dimension_rules(spark, root)
-        self.fact_rules = cut(fact_rules(spark, root))
+    def __init__(self, facts: DataFrame, filings: DataFrame, concept_rules: DataFrame, dimension_rules: DataFrame, fact_rules: DataFrame):
+        self.facts, self.filings = facts, filings
+        self.concept_rules, self.dimension_rules, self.fact_rules = cut(concept_rules), dimension_rules, cut(fact_rules)
+
+    @classmethod
+    def of(cls, spark: SparkSession, root: str) -> Stages:
+        """The pipeline over a folder of warehouse tables."""
+        return cls(facts(spark, root), filings(spark, root), concept_rules(spark, root), dimension_rules(spark, root), fact_rules(spark, root))
 
     @lru_cache(maxsize=None)
     def stage(self, name: str) -> DataFrame:
