@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class TableStore:
@@ -20,27 +22,28 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.root).getFileSystem(conf), path
 
-    def _generation(self, name: str) -> str | None:
+    def _current(self, name: str) -> dict | None:
         fs, path = self._fs()
         mark = path(f"{self.root}/{name}/CURRENT")
         if not fs.exists(mark):
             return None
         s = fs.open(mark)
         try:
-            return bytes(s.readAllBytes()).decode()
+            return json.loads(bytes(s.readAllBytes()).decode())
         finally:
             s.close()
 
     def exists(self, name: str) -> bool:
         """Whether the table has been written."""
-        return self._generation(name) is not None
+        return self._current(name) is not None
 
     def read(self, name: str, companies: Sequence[int] | None = None) -> DataFrame:
         """The table, of some companies only (their partitions alone are read)."""
-        g = self._generation(name)
-        if g is None:
+        now = self._current(name)
+        if now is None:
             raise KeyError(name)
-        df = self.spark.read.parquet(f"{self.root}/{name}/{g}")
+        schema = StructType.fromJson(now["schema"])
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{now['generation']}").select(schema.names)
         return df if companies is None else df.where(F.col("company_id").isin(list(companies)))
 
     def write(self, name: str, df: DataFrame) -> None:
@@ -51,7 +54,7 @@ class TableStore:
         fs, path = self._fs()
         out = fs.create(path(f"{self.root}/{name}/CURRENT"), True)
         try:
-            out.write(bytearray(g.encode()))
+            out.write(bytearray(json.dumps({"generation": g, "schema": df.schema.jsonValue()}).encode()))
         finally:
             out.close()
 
