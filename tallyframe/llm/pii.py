@@ -93,11 +93,20 @@ PROPOSE: tuple[tuple[str, str, re.Pattern], ...] = (
     ("name", "given", re.compile(rf"(?<![\w'’@.-]){_GIV}{_INI}{{0,2}}{_GAP}{_SUR}(?!\w)")),
     ("name", "turned", re.compile(rf"(?<![\w'’@.-]){_SUR},{_GAP}{_GIV}{_INI}{{0,2}}(?!\w)")),
     ("name", "initial", re.compile(rf"(?<![\w'’@.-])[{_UP}]\.(?:{_GAP}?[{_UP}]\.)?{_GAP}{_SUR}(?!\w)")),
-    ("name", "titled", re.compile(rf"(?<=[ . ;])(?<![\w'’@-]){_SUR}(?!\w)")),
     ("name", "cued", re.compile(rf"(?<=[:,=/(>|] ){_CAP}{_INI}?{_GAP}{_SUR}(?!\w)|(?<=[=|]){_CAP}{_INI}?{_GAP}{_SUR}(?!\w)")),
 )
+#: What a text must hold for a pattern to be worth trying.
+_NEEDS = {
+    "at": lambda t: "@" in t,
+    "spelt": re.compile(r"[\[({<]\s?(?:at|AT|@)\s?[\])}>]|\s@|@\s").search,
+    "words": lambda t: " dot " in t or " DOT " in t,
+    "cued": re.compile(r"[Pp]assport|Ausweis|Steuer|licence no|[:,=/(>|] ?[^\W\d_]").search,
+    "box": lambda t: "Box" in t,
+}
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?{_GAP}(?=[{_UP}a-z])")
 _SURNAME = re.compile(_SUR)
+#: Marks that join what follows to what stands before.
+_JOINED = ("_", "'", "’", "@", ".", "+", "-")
 _LOOSE = re.compile(rf"(?:{'|'.join(PARTICLES)}){_GAP}")
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 _DIGITS = re.compile(r"\d+")
@@ -127,7 +136,7 @@ def propose(text: str) -> list[Segment]:
     upper = any(c.isupper() for c in text)
     digits = any(c.isdigit() for c in text)
     for kind, how, pattern in PROPOSE:
-        if how in ("titled",) or (kind == "name" and not upper) or (kind in ("phone", "id_number") and not digits):
+        if (kind == "name" and not upper) or (kind in ("phone", "id_number") and not digits) or (how in _NEEDS and not _NEEDS[how](text)):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -161,8 +170,14 @@ def propose(text: str) -> list[Segment]:
                 surnames.add(s[0].split()[-1])
         for s in surnames:
             if len(s) > 2 and s.lower() not in _VOCAB:
-                for m in re.finditer(rf"(?<![\w'’@.+-]){re.escape(s)}(?![\w@-]|\.\w)", text):
-                    add(*m.span(), "name", "again")
+                a = text.find(s)
+                while a >= 0:
+                    b = a + len(s)
+                    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+                    alone = not (before.isalnum() or before in _JOINED) and not (after.isalnum() or after in ("_", "@", "-") or (after == "." and text[b + 1 : b + 2].isalnum()))
+                    if alone or (not before and not after):
+                        add(a, b, "name", "again")
+                    a = text.find(s, b)
     return sorted(out.values(), key=lambda c: (c.end, c.start, c.kind))
 
 
