@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import updated, upserted
+from ..sources.store import get_or_create, updated, upserted
 from ..sources.tables import table
 from .curation import SQL_RECORDS, override_records
 from .registry import Registry
@@ -130,3 +130,15 @@ def company_replace(spark: SparkSession, root: str) -> DataFrame:
     cols = ["id", "ticker", "status"]
     t = table(spark, root, "tickers").select(cols)
     return upserted(t, s.select(cols).join(t.select("id"), "id", "left_semi").select(cols), ["id"])
+
+
+@R.add(
+    """WITH w AS (SELECT DISTINCT upper(trim(ticker)) AS ticker, exchange, company_id FROM ticker_snapshots WHERE ticker IS NOT NULL AND exchange IS NOT NULL),
+    t AS (SELECT ticker, exchange, min(company_id) AS has FROM tickers GROUP BY ALL)
+    SELECT ticker, exchange, company_id, CASE WHEN has = company_id THEN 'exists' WHEN has IS NOT NULL OR company_id <> min(company_id) OVER (PARTITION BY ticker, exchange) THEN 'conflict' ELSE 'created' END AS verdict
+    FROM w LEFT JOIN t USING (ticker, exchange)"""
+)
+def ticker_mapping(spark: SparkSession, root: str) -> DataFrame:
+    """Tickers seen in snapshots: known, to be created, or taken by another company."""
+    seen = table(spark, root, "ticker_snapshots").select(F.upper(F.trim("ticker")).alias("ticker"), "exchange", "company_id")
+    return get_or_create(table(spark, root, "tickers"), seen, ["ticker", "exchange"], "company_id")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from ..operators.matching import ambiguous_ids
+from ..operators.series import residual, undo_running_total
 from . import normalization as N
 from .curation import SQL_RECORDS
 from ..session import cut
@@ -389,3 +390,63 @@ def quarterly_series(spark: SparkSession, root: str) -> DataFrame:
 def yearly_series(spark: SparkSession, root: str) -> DataFrame:
     """S8: yearly series."""
     return stages(spark, root).stage("yearly")
+
+
+@R.add(f"WITH RECURSIVE {SQL_HIERARCHY}, {SQL_MEMBERS} SELECT {_M}, period_end, dax AS normalized_axis_label, dmem AS normalized_member_label, overridden, override_priority, override_level, rid_ AS row_id FROM drow")
+def rule_best_match_left(spark: SparkSession, root: str) -> DataFrame:
+    """S5: dimension members with the rule that fits best, those without one included."""
+    s = stages(spark, root)
+    return N.dimension_rows(N.labelled_dimension_facts(s.stage("base"), s.concept_rules, s.stage("concepts")), s.dimension_rules)
+
+
+@R.add(f"WITH RECURSIVE {SQL_ROWS} SELECT id, concept, normalized_label, weight, parent_id, abstract_id, period_end FROM rws WHERE is_synthetic")
+def synthetic_ancestors(spark: SparkSession, root: str) -> DataFrame:
+    """S6: rows made up for ancestors that a filing does not report."""
+    return stages(spark, root).stage("rows").where("is_synthetic").select("id", "concept", "normalized_label", "weight", "parent_id", "abstract_id", "period_end")
+
+
+@R.add(f"WITH RECURSIVE {SQL_NORMALIZED} SELECT id, parent_id, period_end, value, comparative_value FROM rolled WHERE is_synthetic")
+def weighted_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """S6: weighted sums of what lies below the synthetic rows."""
+    return N.rolled_up(stages(spark, root).stage("rows")).where("is_synthetic").select("id", "parent_id", "period_end", "value", "comparative_value")
+
+
+@R.add(f"WITH RECURSIVE {SQL_NORMALIZED} SELECT id, size AS chain_size FROM sized")
+def comparative_chain(spark: SparkSession, root: str) -> DataFrame:
+    """S6: the longest run of comparatives through each fact."""
+    return N.chain_sizes(cut(N.rolled_up(stages(spark, root).stage("rows"))))
+
+
+@R.add(f"WITH RECURSIVE {SQL_NORMALIZED} SELECT id, is_duplicate FROM nfacts")
+def dedup_ranked(spark: SparkSession, root: str) -> DataFrame:
+    """S6: which facts are duplicates of a better one."""
+    return stages(spark, root).stage("normalized").select("id", "is_duplicate")
+
+
+_QUARTERS = ["company_id", "concept", "period_end"]
+_SQL_YTD = f"""{SQL_STAR}, ytd AS (SELECT company_id, label AS concept, period_end, value, sum(value) OVER (PARTITION BY company_id, label, year(period_end) ORDER BY period_end)::DECIMAL(28,6) AS total FROM base WHERE axis = '')"""
+
+
+def running_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Quarter values of the order tables with their running totals of the year."""
+    w = Window.partitionBy("company_id", "label", F.year("period_end")).orderBy("period_end")
+    return star_facts(spark, root).where("axis = ''").select("company_id", F.col("label").alias("concept"), "period_end", "value", F.sum("value").over(w).cast("decimal(28,6)").alias("total"))
+
+
+@R.add(f"""WITH {_SQL_YTD} SELECT company_id, concept, period_end, total, CASE WHEN quarter(period_end) > 1 AND date_diff('day', lag(period_end) OVER s, period_end) BETWEEN 80 AND 100 THEN total - lag(total) OVER s ELSE total END AS quarter_value
+    FROM ytd WINDOW s AS (PARTITION BY company_id, concept ORDER BY period_end)""")
+def ytd_decumulate(spark: SparkSession, root: str) -> DataFrame:
+    """S7: quarters from running totals; the first quarter of a year has none before it."""
+    t = running_totals(spark, root)
+    own = undo_running_total(t, ["company_id", "concept"], "period_end", "total", F.quarter("period_end") > 1, [F.asc("period_end")])
+    return t.select(*_QUARTERS, "total", own.alias("quarter_value"))
+
+
+@R.add(f"""WITH {_SQL_YTD}, y AS (SELECT company_id, concept, year(period_end)::INT AS y, sum(value) AS whole, sum(value) FILTER (quarter(period_end) < 4) AS parts FROM ytd GROUP BY ALL)
+    SELECT company_id, concept, y, (whole - parts)::DECIMAL(28,6) AS value FROM y WHERE parts IS NOT NULL""")
+def residual_quarter(spark: SparkSession, root: str) -> DataFrame:
+    """S7: what a year holds beyond its first three quarters."""
+    t = running_totals(spark, root).withColumn("y", F.year("period_end"))
+    key = ["company_id", "concept", "y"]
+    whole = t.groupBy(*key).agg(F.sum("value").alias("value"))
+    return residual(whole, t.where(F.quarter("period_end") < 4), key, "value").select(*key, F.col("value").cast("decimal(28,6)").alias("value"))

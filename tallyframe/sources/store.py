@@ -89,3 +89,16 @@ def updated(df: DataFrame, which: Column, changes: Mapping[str, object], stamp:
     if stamp and sets:
         sets[stamp] = F.when(which, F.current_timestamp().cast(dict(df.dtypes)[stamp])).otherwise(F.col(stamp))
     return df.withColumns(sets) if sets else df
+
+
+def get_or_create(existing: DataFrame, wanted: DataFrame, key: Sequence[str], owner: str) -> DataFrame:
+    """What becomes of each distinct wanted (key, owner): `exists`, `conflict` (the key belongs to another owner) or `created`.
+
+    Of several owners that want the same new key the least gets it and the others conflict. Rows with a null in the key are left out.
+    """
+    there = existing.select(*key, F.col(owner).alias("__has")).groupBy(*key).agg(F.min("__has").alias("__has"))
+    want = wanted.select(*key, owner).distinct().where(" and ".join(f"{k} is not null" for k in key))
+    first = want.groupBy(*key).agg(F.min(owner).alias("__first"))
+    j = want.join(there, list(key), "left").join(first, list(key))
+    verdict = F.when(F.col("__has") == F.col(owner), "exists").when(F.col("__has").isNotNull() | (F.col(owner) != F.col("__first")), "conflict").otherwise("created")
+    return j.select(*key, owner, verdict.alias("verdict"))
