@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_LIMIT, cut
+
 
 @dataclass(frozen=True)
 class Bundle:
@@ -36,30 +38,38 @@ def choose_bundles(
     agree with each other; repeated records count as records; an empty table gives no rows; other columns of `df` are
     not touched, so their names cannot clash.
 
-    Candidates of one group, bundle and determinant differ in trust alone, so only the best can be in a solution: a
-    map-side combined maximum removes the others before any list is built, which then has one entry per distinct
-    determinant value. Branch and bound over these runs inside the JVM: candidates of the first bundle in order of
-    trust, and a branch is cut when even the best of every later bundle could not beat the best solution so far.
+    The root of the search is one map-side combined maximum per group and bundle, without the constraint: where those choices
+    agree, the bound is attained and nothing is left to branch on. Only the records of the other groups are read again:
+    candidates of one group, bundle and determinant differ in trust alone, so another combined maximum leaves one per
+    distinct determinant value, and branch and bound over these lists runs inside the JVM. No list is built from records.
     """
     names = list(bundles)
     g = [f"__g{i}" for i in range(len(group))]
     cand = {
-        n: F.max(F.when(b.offered, F.struct(*[t.alias(f"t{i}") for i, t in enumerate(b.trust)], (-F.col(record)).alias("id"))))
+        n: F.max(F.when(b.offered, F.struct(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(b.trust)], (-F.col(record)).alias("id")).alias("t"), F.col("__d").alias("d"))))
         for n, b in bundles.items()
     }
-    best = (
-        df.withColumns({n: F.col(c) for n, c in zip(g, group)} | {"__d": determinant})
-        .groupBy(*g, "__d")
-        .agg(F.count("*").alias("__n"), *[c.alias(f"__c_{n}") for n, c in cand.items()])
-    )
-    every = best.groupBy(*g).agg(
-        F.sum("__n").alias("__n"),
-        *[
-            F.sort_array(F.collect_list(F.when(F.col(f"__c_{n}").isNotNull(), F.struct(F.col(f"__c_{n}").alias("t"), F.col("__d").alias("d")))), asc=False).alias(f"__l_{n}")
-            for n in names
-        ],
-    )
-    every = every.where((F.col("__n") >= at_least) & (F.size(f"__l_{names[0]}") > 0))
+    rows = df.withColumns({n: F.col(c) for n, c in zip(g, group)} | {"__d": determinant})
+    root = rows.groupBy(*g).agg(F.count("*").alias("__n"), *[c.alias(n) for n, c in cand.items()])
+    root = root.where((F.col("__n") >= at_least) & F.col(names[0]).isNotNull()).drop("__n")
+    agree = F.size(F.array_distinct(F.array_compact(F.array(*[F.col(n)["d"] for n in names])))) <= 1
+    out = lambda x, ids: x.select(*[F.col(n).alias(c) for n, c in zip(g, group)], *[(-i).alias(n) for n, i in zip(names, ids)])
+    root = cut(root.withColumn("__done", agree))
+    done = out(root.where("__done"), [F.col(n)["t"]["id"] for n in names])
+    left = root.where("not __done").select(*[F.col(n).alias(f"__r{i}") for i, n in enumerate(g)])
+    size = left.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in left.columns), F.lit(64)))).first()[0]
+    if size is None:
+        return done
+    left = F.broadcast(left) if size <= BROADCAST_LIMIT else left
+    again = rows.join(left, [F.col(n).eqNullSafe(F.col(f"__r{i}")) for i, n in enumerate(g)], "left_semi")
+    solved = _branch(again, g, names, cand)
+    return done.unionByName(out(solved, [F.col(f"s.{n}.id") for n in names]))
+
+
+def _branch(rows: DataFrame, g: list[str], names: list[str], cand: dict[str, Column]) -> DataFrame:
+    """The best consistent choice per group of `rows`, as the struct `s` of each bundle's trust."""
+    best = rows.groupBy(*g, "__d").agg(*[c.alias(n) for n, c in cand.items()])
+    every = best.groupBy(*g).agg(*[F.sort_array(F.collect_list(n), asc=False).alias(f"__l_{n}") for n in names])
     kind = {n: every.schema[f"__l_{n}"].dataType.elementType["t"].dataType for n in names}
 
     def score(parts: list[Column]) -> Column:
@@ -78,8 +88,8 @@ def choose_bundles(
 
         def branch(acc: Column, c: Column) -> Column:
             apart = d.isNotNull() & c["d"].isNotNull() & (d != c["d"])
-            cut = apart | (acc.isNotNull() & (bound(c["t"]) <= acc))
-            return F.when(cut, acc).otherwise(extend(level + 1, [*chosen, c["t"]], F.coalesce(d, c["d"]), acc))
+            skip = apart | (acc.isNotNull() & (bound(c["t"]) <= acc))
+            return F.when(skip, acc).otherwise(extend(level + 1, [*chosen, c["t"]], F.coalesce(d, c["d"]), acc))
 
         tried = F.aggregate(F.col(f"__l_{n}"), best_so_far, branch)
         return tried if level == 0 else extend_empty(level, chosen, d, tried, empty)
@@ -91,12 +101,7 @@ def choose_bundles(
         )
 
     nothing = F.lit(None).cast(every.select(score([F.lit(None).cast(kind[n]) for n in names]).alias("s")).schema["s"].dataType)
-    # one determinant value leaves nothing to branch on: the root's bound is the solution
-    single = F.greatest(*[F.size(f"__l_{n}") for n in names]) == 1
-    agree = F.size(F.array_distinct(F.array_compact(F.array(*[F.get(F.col(f"__l_{n}"), F.lit(0))["d"] for n in names])))) <= 1
-    solution = F.when(single & agree, score(tops)).otherwise(extend(0, [], F.lit(None).cast(best.schema["__d"].dataType), nothing))
-    solved = every.select(*g, solution.alias("s"))
-    return solved.select(*[F.col(n).alias(c) for n, c in zip(g, group)], *[(-F.col(f"s.{n}.id")).alias(n) for n in names])
+    return every.select(*g, extend(0, [], F.lit(None).cast(best.schema["__d"].dataType), nothing).alias("s"))
 
 
 def build_survivors(df: DataFrame, chosen: DataFrame, record: str, bundles: Mapping[str, Bundle], group: Sequence[str]) -> DataFrame:
