@@ -42,24 +42,31 @@ def planes(dimension: int, count: int, seed: int) -> list[list[float]]:
     return np.random.default_rng(seed).normal(size=(count, dimension)).tolist()
 
 
-def signatures(df: DataFrame, vector: str, dimension: int, tables: int, bits: int, seed: int = 11) -> DataFrame:
-    """One row per hash table with `table` and `signature`: on which side of the table's planes the vector lies."""
-    sig = []
-    for t in range(tables):
-        code = F.lit(0)
-        for b, p in enumerate(planes(dimension, bits, seed + t)):
-            side = dot(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) > 0
-            code = code + F.when(side, 1 << b).otherwise(0)
-        sig.append(F.struct(F.lit(t).alias("table"), code.alias("signature")))
-    return df.withColumn("__s", F.explode(F.array(*sig))).select(*df.columns, "__s.table", "__s.signature")
+def signatures(df: DataFrame, vector: str, dimension: int, tables: int, bits: int, seed: int = 11, probes: int = 0) -> DataFrame:
+    """One row per hash table with `table` and `signature`: on which side of the table's planes the vector lies.
+
+    `probes` adds the signatures beyond each of the table's that many nearest planes, where close vectors are most likely cut off.
+    """
+    sides = [
+        F.struct(F.lit(t).alias("table"), F.array(*[dot(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) for p in planes(dimension, bits, seed + t)]).alias("far"))
+        for t in range(tables)
+    ]
+    code = sum((F.when(F.col("__s.far")[b] > 0, 1 << b).otherwise(0) for b in range(bits)), F.lit(0))
+    nearest = F.slice(F.array_sort(F.transform("__s.far", lambda x, b: F.struct(F.abs(x).alias("far"), F.pow(F.lit(2), b).cast("int").alias("bit")))), 1, probes)
+    kept = F.array_prepend(F.transform(nearest, lambda n: F.col("__code").bitwiseXOR(n["bit"])), F.col("__code")) if probes else F.array("__code")
+    own = df.withColumn("__s", F.explode(F.array(*sides))).withColumn("__code", code)
+    return own.select(*df.columns, "__s.table", F.explode(kept).alias("signature"))
 
 
 def similar_indexed(
-    rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, top: int, dimension: int, tables: int = 12, bits: int = 4
+    rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, top: int, dimension: int, tables: int = 12, bits: int = 4, probes: int = 1
 ) -> DataFrame:
-    """Like `similar`, over the rows that share a signature with the query in some table (approximate; every row is indexed)."""
+    """Like `similar`, over the rows whose signature in some table is the query's or lies beyond one of its `probes` nearest planes there.
+
+    Approximate; every row is indexed, and only queries are probed.
+    """
     r = signatures(rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("v")), "v", dimension, tables, bits)
-    q = signatures(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("w")), "w", dimension, tables, bits)
+    q = signatures(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("w")), "w", dimension, tables, bits, probes=probes)
     pairs = r.join(q, ["table", "signature"]).select("query_id", "row_id").distinct()
     rv = unit(rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("v")), "v").where("v is not null")
     qv = unit(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("w")), "w").where("w is not null")

@@ -1,5 +1,6 @@
 """Reads, ingestion, administration, vectors, texts and streams on small cases."""
 
+import os
 import uuid
 from datetime import date
 
@@ -11,10 +12,12 @@ from tallyframe.operators.texts import chunks
 from tallyframe.operators.vectors import similar, similar_indexed
 from tallyframe.plans.administration import csv_lines, rule_violation
 from tallyframe.plans.ingest import filled_share, latest_two, melt_statement, resolve_keys, single_values, unambiguous_members
-from tallyframe.plans.serving import abstract_paths, in_reading_order, metric_rows, search_companies, series
+from tallyframe.plans.serving import abstract_paths, in_reading_order, metric_rows, search_companies, series, similarity_indexed
 from tallyframe.sources.store import TableStore, updated
 from tallyframe.streaming.arrivals import follow_arrivals
 
+EMBEDDINGS = "/root/testdata/sf0.01"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -104,6 +107,21 @@ def test_vectors(spark):
     assert len(exact & fast) >= 0.9 * len(exact)
 
 
+@pytest.mark.skipif(not os.path.isdir(EMBEDDINGS), reason="no test tables")
+def test_recall_of_the_index(spark):
+    """Over the query's own table, without the query itself, which is always found."""
+    import numpy as np
+
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{EMBEDDINGS}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids = np.array([i for i, _ in rows])
+    m = np.array([v for _, v in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    exact = {(int(ids[q]), int(ids[j])) for q in np.flatnonzero(ids % 20 == 0) for j in np.argsort(-(m @ m[q]), kind="stable")[:5] if j != q}
+    found = [(r.query_id, r.row_id) for r in similarity_indexed(spark, EMBEDDINGS).collect()]
+    assert len(found) == len(set(found)) == 5 * sum(ids % 20 == 0)
+    assert len(exact & set(found)) > 0.93 * len(exact)
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, "One two. Three four! Five six? " * 30), (2, None), (3, " "), (4, "x" * 250)], "id int, t string")
     got = chunks(df, "id", "t", 100, 10).collect()
