@@ -143,6 +143,35 @@ def p3_descendants(spark: SparkSession, root: str) -> DataFrame:
     return descendants_of(t, t.where("id % 20 = 0"), "id")
 
 
+def link_trees(spark: SparkSession, root: str) -> DataFrame:
+    """Nested sets of all three kinds of links, with the node's full name."""
+    t = nested_sets(links(spark, root), ["link", "scope", "name"], ["link", "scope", "up"], "name")
+    return t.withColumn("node", F.concat("scope", "name"))
+
+
+@R.add()
+def p3_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """The whole descendant relation in linear size: below a node are the nodes of its link and tree with lft < their lft <= rgt.
+
+    A tree has the name of its top node. Siblings may stand in any order, so SQL has no one answer.
+    """
+    return link_trees(spark, root).select("link", "node", F.concat("scope", "root").alias("tree"), "lft", "rgt")
+
+
+@R.add(
+    f"""
+    WITH RECURSIVE {SQL_LINKS},
+    lost AS (SELECT link, scope, name FROM cyc UNION SELECT r.link, r.scope, r.name FROM reach r JOIN cyc c ON c.link = r.link AND c.scope = r.scope AND c.name = r.anc)
+    SELECT link, scope || anc AS ancestor, scope || name AS descendant FROM reach r
+    WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.link = r.link AND l.scope = r.scope AND l.name = r.anc)"""
+)
+def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """All descendants of every row that has a sound path, for the three kinds of links."""
+    t = link_trees(spark, root).withColumn("at", F.struct("link", "node"))
+    pairs = descendants_of(t, t, "at")
+    return pairs.select("ancestor.link", F.col("ancestor.node").alias("ancestor"), F.col("descendant.node").alias("descendant"))
+
+
 # -- records that fail to parse -------------------------------------------------------------------------------------
 
 #: Fields of the override files that are not plain text.

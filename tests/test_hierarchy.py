@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tallyframe.operators.hierarchy import breaks, descendants_of, nested_sets
+from tallyframe.plans.curation import R
 
 
 def brute(parent):
@@ -55,3 +56,19 @@ def test_nulls_repeats_and_empty(spark):
     assert {(r.id, r.depth) for r in nested_sets(df, ["id"], ["up"], "id").collect()} == {(1, 0), (2, 1)}
     none = df.limit(0)
     assert breaks(none, ["id"], ["up"]).count() == 0 and nested_sets(none, ["id"], ["up"], "id").count() == 0
+
+
+def test_every_ancestor_of_all_links(spark, tmp_path):
+    """No link kind and no ancestor is left out: pairs as listed, and the same from the ranges."""
+    q = [(1, None), (2, 1), (3, 2), (20, 3), (4, 20), (5, 6), (6, 5), (7, 6), (8, 99)]
+    o = [(0, "IS", "a", None, None), (0, "IS", "b", "a", "h"), (0, "IS", "c", "b", "h"), (0, "IS", "h", None, "k"), (0, "IS", "k", None, None), (7, "IS", "b", "a", None), (7, "IS", "a", "a", None)]
+    spark.createDataFrame(q, "id long, abstract_id long").write.parquet(str(tmp_path / "quarterly_financials.parquet"))
+    spark.createDataFrame(o, "company_id int, statement string, concept string, parent_concept string, abstract_concept string").write.parquet(str(tmp_path / "concept_normalization_overrides.parquet"))
+    chain = ["1", "2", "3", "20", "4"]
+    want = {("quarterly_abstract", a, d) for i, a in enumerate(chain) for d in chain[i + 1 :]}
+    want |= {("override_parent", f"0/IS/{a}", f"0/IS/{d}") for a, d in ("ab", "ac", "bc")}
+    want |= {("override_abstract", f"0/IS/{a}", f"0/IS/{d}") for a, d in ("hb", "hc", "kh", "kb", "kc")}
+    pairs = R.queries["p3_pairs"](spark, str(tmp_path)).collect()
+    assert len(pairs) == len(want) and {(r.link, r.ancestor, r.descendant) for r in pairs} == want
+    n = R.queries["p3_ranges"](spark, str(tmp_path)).collect()
+    assert {(a.link, a.node, d.node) for a in n for d in n if (a.link, a.tree) == (d.link, d.tree) and a.lft < d.lft <= a.rgt} == want
