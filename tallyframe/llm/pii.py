@@ -99,7 +99,7 @@ PROPOSE: tuple[tuple[str, str, re.Pattern], ...] = (
 _NEEDS = {
     "at": lambda t: "@" in t,
     "spelt": re.compile(r"[\[({<]\s?(?:at|AT|@)\s?[\])}>]|\s@|@\s").search,
-    "words": lambda t: " dot " in t or " DOT " in t,
+    "words": re.compile(r"\s(?:dot|DOT)\s").search,
     "cued": re.compile(r"[Pp]assport|Ausweis|Steuer|licence no|[:,=/(>|] ?[^\W\d_]").search,
     "box": lambda t: "Box" in t,
 }

@@ -34,6 +34,12 @@ def test_texts(text, details):
     assert find(text) == details
 
 
+@pytest.mark.parametrize("blank", ["\n", "\u00a0", "\t", " "])
+def test_spelt_out_address_with_any_blank(blank):
+    mail = f"ir at ranfleaxmail dot{blank}test"
+    assert ("email", mail) in find(f"Questions? Write to {mail}, please.")
+
+
 def test_tables(spark):
     rows = [(1, "Call back on +1 206 555 0151."), (2, None), (3, ""), (4, "nothing here"), (1, "Call back on +1 206 555 0151."), (5, "filler text. " * 60_000 + "Call back on +1 206 555 0151.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as kind", "2 as start_pos")
