@@ -109,6 +109,7 @@ class Matcher:
         for k, ts in enumerate(self.tokens):
             for t in ts:
                 self.of[t].append(k)
+        self.longest = max(map(len, self.weight), default=0)
         self.near = defaultdict(set)
         for t in self.weight:
             for d in _deletes(t, 2 if len(t) > 4 else 1 if len(t) > 2 else 0):
@@ -142,7 +143,7 @@ class Matcher:
         out: dict[str, float] = {}
         if token in self.weight:
             out[token] = 1.0
-        if len(token) > 2:
+        if 2 < len(token) <= self.longest + 3:  # a longer one is more than three edits from every word
             for d in _deletes(token, 2 if len(token) > 4 else 1):
                 for t in self.near.get(d, ()):
                     e = distance(token, t)
@@ -171,6 +172,10 @@ class Matcher:
         like = [self.alike(t) for t in typed]
         last = typed[-1]
         begun = {t for t in self.weight if t.startswith(last) and t != last} if len(last) < 3 or cut else set()
+        worth = [0.25 if t in LIGHT or len(t) < 2 else 1.3 for t in typed]
+        most = sum(w * max(al.values(), default=0.0) for w, al in zip(worth[:-1], like)) + worth[-1]
+        if 2 * most < (LEAST - 1e-6) * (most + sum(worth)):  # too many foreign words: an entry found in full would not be similar enough
+            return 0.0, -1
         score: dict[int, dict[str, float]] = defaultdict(dict)
         for i, al in enumerate(like):
             for t, s in [*al.items(), *((t, 0.9) for t in begun if i == len(like) - 1)]:
@@ -189,12 +194,11 @@ class Matcher:
             back = full = 0.0
             have = set(self.tokens[k])
             for i, t in enumerate(typed):
-                w = 0.25 if t in LIGHT or len(t) < 2 else 1.3
                 hit = max((s for x, s in like[i].items() if x in have), default=0.0)
                 if i == len(typed) - 1 and hit < 0.9 and any(x in have for x in begun):
                     hit = 0.9
-                back += w * hit
-                full += w
+                back += worth[i] * hit
+                full += worth[i]
             r, p = ours / need, back / full
             f = 2 * r * p / (r + p) if r + p else 0.0
             best = max(best, (round(f, 6), -k, k))
@@ -209,9 +213,6 @@ class Matcher:
 
     def find(self, text: str) -> int:
         """The entry meant by a typed label, 0 if none."""
-        if len(text) > 400:  # no name comes near; the automaton still looks through the whole label
-            k = self.mention(normalise(text)[0])
-            return self.ids[k] if k is not None else 0
         words, cut = normalise(text)
         k = self.mention(words)
         if k is None:

@@ -24,6 +24,18 @@ def test_typed_labels(typed, entry):
     assert Matcher(ENTRIES).find(typed) == entry
 
 
+@pytest.mark.parametrize("pad", [" " * 500, " (Note 9)" * 60, " (unaudited)" + "\u00a0" * 450 + "*"])
+@pytest.mark.parametrize(("typed", "entry"), [("Total nct reevenue", 1), ("Diluted EPS", 4), ("margin Gross", 12), ("Def erredtax assets", 9), ("Vaccine cold-chain surcharge", 0)])
+def test_padded_labels(typed, entry, pad):
+    m = Matcher(ENTRIES)
+    assert m.find(typed) == m.find(typed + pad) == m.find(pad + " " + typed) == entry
+
+
+def test_long_texts_mean_no_entry():
+    m = Matcher(ENTRIES)
+    assert m.find("x" * 100_000) == m.find("deferred " + "revenues" * 1000) == m.find(" ".join(f"deferred{i:x}z tax" for i in range(5000))) == 0
+
+
 def test_names_find_themselves_and_survive_typos():
     m, r = Matcher(ENTRIES), random.Random(1)
     right = total = 0
