@@ -14,6 +14,7 @@ from ..operators.texts import begins_with, chunks
 from ..operators.vectors import similar, similar_indexed
 from ..session import small
 from ..sources.tables import table
+from .curation import SQL_KEY
 from .registry import Registry
 from .warehouse import facts, filings
 
@@ -156,18 +157,31 @@ def latest_metrics(spark: SparkSession, root: str) -> DataFrame:
     return one.withColumn("__rn", F.row_number().over(w)).where("__rn <= 20").select("id", "company_id", "period_end", "statement", "normalized_label", "value")
 
 
+def newest_facts(rows: DataFrame, filed: DataFrame, most: int = 10) -> DataFrame:
+    """Each company's `most` facts of the newest filings (ties: the lower id)."""
+    from pyspark.sql import Window
+
+    j = rows.join(small(filed.select(F.col("id").alias("filing_id"), "filing_date")), "filing_id")
+    w = Window.partitionBy("company_id").orderBy(F.desc("filing_date"), "id")
+    return j.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).select("id", "company_id", "concept", "value", "filing_date")
+
+
 @R.add(
     """SELECT f.id, f.company_id, f.concept, f.value, g.filing_date FROM financial_facts f JOIN filings g ON g.id = f.filing_id WHERE f.concept = 'core-fin:NetRevenue'
     QUALIFY row_number() OVER (PARTITION BY f.company_id ORDER BY g.filing_date DESC, f.id) <= 10"""
 )
 def facts_by_concept(spark: SparkSession, root: str) -> DataFrame:
-    """Each company's 10 newest facts of a concept."""
-    from pyspark.sql import Window
+    """Each company's 10 newest facts of a concept in this spelling."""
+    return newest_facts(table(spark, root, "financial_facts").where("concept = 'core-fin:NetRevenue'"), table(spark, root, "filings"))
 
-    g = table(spark, root, "filings").select(F.col("id").alias("filing_id"), "filing_date")
-    j = table(spark, root, "financial_facts").where("concept = 'core-fin:NetRevenue'").join(small(g), "filing_id")
-    w = Window.partitionBy("company_id").orderBy(F.desc("filing_date"), "id")
-    return j.withColumn("__rn", F.row_number().over(w)).where("__rn <= 10").select("id", "company_id", "concept", "value", "filing_date")
+
+@R.add(
+    f"""SELECT f.id, f.company_id, f.k AS concept, f.value, g.filing_date FROM (SELECT *, {SQL_KEY} AS k FROM financial_facts) f JOIN filings g ON g.id = f.filing_id
+    WHERE f.k = 'core-fin:netrevenue' QUALIFY row_number() OVER (PARTITION BY f.company_id ORDER BY g.filing_date DESC, f.id) <= 10"""
+)
+def facts_by_concept_folded(spark: SparkSession, root: str) -> DataFrame:
+    """Each company's 10 newest facts of a concept, however it is spelt."""
+    return newest_facts(facts(spark, root).where("concept = 'core-fin:netrevenue'"), filings(spark, root))
 
 
 @R.add("SELECT company_id, fiscal_year, string_agg(number, ',' ORDER BY filing_date DESC, id) AS numbers, count(*) AS n FROM filings GROUP BY ALL")

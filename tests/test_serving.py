@@ -12,7 +12,7 @@ from tallyframe.operators.texts import chunks
 from tallyframe.operators.vectors import similar, similar_indexed
 from tallyframe.plans.administration import csv_lines, rule_violation
 from tallyframe.plans.ingest import filled_share, latest_two, melt_statement, resolve_keys, single_values, unambiguous_members
-from tallyframe.plans.serving import abstract_paths, in_reading_order, metric_rows, search_companies, series, similarity_indexed
+from tallyframe.plans.serving import abstract_paths, facts_by_concept_folded, in_reading_order, metric_rows, search_companies, series, similarity_indexed
 from tallyframe.sources.store import TableStore, updated
 from tallyframe.streaming.arrivals import follow_arrivals
 
@@ -82,6 +82,15 @@ def test_search(spark):
     assert find("ap") == [(1, "AAPL"), (2, "APX")] and find("100%") == [(3, "PIE")] and find("  ") == [] and find("_") == [] and len(find("ap", 0)) == 1
 
 
+def test_newest_facts_in_any_spelling(spark, tmp_path):
+    names = ["core-fin:NetRevenue", "CORE-FIN:NETREVENUE", "core-fin_NetRevenue", " core-fin: NetRevenue\u00a0", "core-fin:NetProfit"]
+    f = [(i, 1, i, names[i % 5], i, "10-Q") for i in range(1, 21)]
+    g = [(i, date(2024, 1, i), "10-Q") for i in range(1, 21)]
+    spark.createDataFrame(f, "id long, company_id int, filing_id long, concept string, value int, form_type string").write.parquet(str(tmp_path / "financial_facts.parquet"))
+    spark.createDataFrame(g, "id long, filing_date date, form_type string").write.parquet(str(tmp_path / "filings.parquet"))
+    assert sorted(r.id for r in facts_by_concept_folded(spark, str(tmp_path)).collect()) == [8, 10, 11, 12, 13, 15, 16, 17, 18, 20]
+
+
 def test_rules_and_csv(spark):
     rows = [(0, "p", True, "w", "u", True), (0, "p", False, None, "u", True), (0, None, False, None, None, True), (0, None, True, "w", None, True), (0, None, True, None, "u", True), (5, None, False, None, "u", True), (5, "p", False, "w", "u", False), (0, None, True, None, None, True)]
     df = spark.createDataFrame(rows, "company_id int, parent_concept string, is_abstract boolean, weight string, unit string, is_global boolean")
