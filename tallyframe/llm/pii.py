@@ -1,271 +1,56 @@
 """Personal details inside free text, found by a semi-Markov conditional random field and replaced by placeholders.
 
-Patterns propose candidate segments generously, overlapping and of several kinds; the model scores each whole segment with
+Candidate segments are proposed generously, overlapping and of several kinds (`pii_candidates`); the model scores each whole segment with
 its context, and a dynamic programme over the segments of a text chooses boundaries and kinds together.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-#: Longest segment that can be one detail, in characters.
-LONGEST = 200
-#: Fewest digits of a telephone number.
-LEAST_DIGITS = 7
+from .pii_candidates import VOCABULARIES, Lexicon, Page, Segment, features, propose, read
+
 #: Two details with at most so many characters between them influence each other.
 NEAR = 3
 
-#: Given names that make the following word a surname.
-GIVEN = (
-    "Adam Agnes Aisha Alan Alice Amina Andrea Anna Anselm Arthur Bram Carlos Carmen Charles Chen Clara Conrad Daniel David Davor Diego Elena Elizabeth Emil Emma Erik Eva Farida "
-    "Fatima Francis George Goran Greta Hannah Hassan Helen Henry Hugh Ibrahim Inés Ingrid Isabel Ivy Jack James Jan Jane Javier Jean Jennifer Joan John Jonas Jorge José Joseph Juan "
-    "Julia Karen Karl Katherine Kenji Kwabena Laura Lars Lena Leopold Li Linda Louis Lucia Luis Lukas Maria Marie Marcus Margaret Mark Martin Mary Matteo Mei Michael Miguel Mirela "
-    "Mohammed Nadia Nancy Nina Noah Olga Oliver Omar Oskar Ottilie Pablo Patricia Paul Pedro Peter Philip Pierre Priska Rafael Rachel Renée Richard Robert Rosa Ruth Samuel Sara Sarah "
-    "Selma Sofia Sophie Stefan Stephen Sunniva Susan Sven Søren Tariq Thea Thomas Tobias Victor Walter William Wilma Ximena Yuki Yusra Yvonne Zoë"
-).split()
-#: Titles, which do not belong to a name.
-TITLES = "Mr Mrs Ms Miss Mx Dr Prof Sir Dame Herr Herrn Frau Mme Mlle Señor Señora señor señora Sr Sra Sig Dott".split()
-#: Particles, which do belong to it.
-PARTICLES = "van von der den de di da del della la le du dos ten ter bin al".split()
-#: Ends of company names.
-COMPANY = "Inc Corp Ltd LLC LLP PLC AG SA NV GmbH Co Company Holdings Group Foods Energy Mining Systems Logistics Biologics Materials Instruments Paper Trust Bank Partners Sons Associates".split()
-#: Kinds of streets.
-STREETS = "Street St Road Rd Avenue Ave Boulevard Blvd Lane Ln Drive Dr Court Ct Way Place Pl Square Sq Terrace Crescent Close Row Parkway Pkwy Highway Hwy".split()
-
-_UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-_GAP = r"(?:[ \t ]|&nbsp;){1,3}"
-_CAP = rf"(?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}})"
-_PART = "(?:(?:" + "|".join([*PARTICLES, *(p.capitalize() for p in PARTICLES), *(p.upper() for p in PARTICLES)]) + rf"){_GAP}){{0,2}}"
-_SUR = rf"{_PART}(?:[OD]['’])?{_CAP}(?:-(?:[OD]['’])?{_CAP})*"
-_GIV = "(?:" + "|".join(sorted({f for g in GIVEN for f in (g, g.upper())}, key=len, reverse=True)) + ")"
-_INI = rf"(?:{_GAP}[{_UP}]\.)"
-_TITLE = "(?:" + "|".join(TITLES) + rf")\.?{_GAP}"
-_S = r"[ \u00a0]{1,2}"
-_TOWN = rf"{_CAP}(?:[ \u00a0-]{_CAP}){{0,2}}"
-_BREAK = r"(?:,[ \t]*\n?|[ \t]*\n|,? )[ \t]*"
-_TAIL = (
-    rf"(?:,? ?(?:(?:Suite|Ste\.?|Unit|Apt\.?|Apartment|Room|Flat|Floor) ?#?(?:\d\w*|[A-Z]\b)|#\d+|\d{{1,3}}(?:st|nd|rd|th) Floor))?"
-    rf"(?:(?:,[ \t]*\n?|[ \t]*\n)[ \t]*{_TOWN}(?:,?{_S}[A-Z]{{2}})?(?:{_S}\d{{5}}(?:-\d{{4}})?)?)?"
-)
-_DASH = r"[ . -]"
-_AT = r"\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?"
-_DOT = r"\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?"
-PROPOSE: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("email", "at", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
-    ("email", "spelt", re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:{_AT}|\s@\s?|\s?@\s)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z]{{2,}}")),
-    ("email", "words", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s(?:at|AT)\s[A-Za-z0-9-]+(?:(?:\.|\s(?:dot|DOT)\s)[A-Za-z0-9-]+)*\s(?:dot|DOT)\s[A-Za-z]{2,}")),
-    (
-        "phone",
-        "groups",
-        re.compile(
-            rf"(?<![\w+$€£#/.,-])(?:\+\d{{1,3}}{_DASH}?)?(?:\(\d{{1,5}}\){_DASH}?)?\d{{1,5}}(?:{_DASH}\d{{2,5}}){{1,6}}(?:\s?(?:ext\.?|x|extension|Durchwahl)\s?\d{{1,5}})?(?![\w/-]|[.,]\d)"
-        ),
-    ),
-    ("phone", "run", re.compile(r"(?<![\w+$€£#/.,-])\+?\d{7,15}(?:\s?(?:ext\.?|x)\s?\d{1,5})?(?![\w/-]|[.,]\d)")),
-    ("id_number", "3-2-4", re.compile(r"(?<![\w$€£#/.,-])\d{3}([- ]?)\d{2}\1\d{4}(?![\w/-]|[.,]\d)")),
-    ("id_number", "letters", re.compile(r"(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)")),
-    ("id_number", "check", re.compile(r"(?<![\w-])(?:[XYZ]-?\d{7}|\d{8})-?[A-Z](?![\w-])")),
-    ("id_number", "cued", re.compile(r"(?:(?<=passport number )|(?<=passport no. )|(?<=Passport no. )|(?<=Ausweisnummer )|(?<=Steuer-ID )|(?<=driving licence no. ))[A-Z0-9][A-Z0-9 -]{5,16}[A-Z0-9]")),
-    ("address", "street", re.compile(rf"(?<![\w$€£.,/-])\d{{1,6}}[A-Za-z]?,?{_S}(?:[{_UP}][{_LOW}'’]+{_S}){{1,4}}(?:{'|'.join(STREETS)})\b\.?{_TAIL}")),
-    ("address", "box", re.compile(rf"\bP\.?[ \u00a0]?O\.?[ \u00a0]?Box{_S}\d+{_TAIL}")),
-    (
-        "address",
-        "behind",
-        re.compile(rf"(?<![\w])(?:[{_UP}][\w'’-]*\.?{_S}){{0,3}}[{_UP}][\w'’-]*\.?,?{_S}\d{{1,4}}[a-z]?{_BREAK}(?:[A-Z]{{1,2}}-)?\d{{4,5}}{_S}{_TOWN}"),
-    ),
-    (
-        "address",
-        "before",
-        re.compile(
-            rf"(?<![\w$€£.,/-])\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|quai|place|boulevard|bd|chemin|allée|impasse|cours|route|square)(?:{_S}[\w'’-]+){{1,5}}?(?:{_BREAK}\d{{5}}{_S}{_TOWN}|(?=[,.;\n]))"
-        ),
-    ),
-    ("address", "calle", re.compile(rf"\b(?:[Cc]alle|C/|[Aa]venida|Avda\.?|[Pp]laza|[Pp]aseo)(?: [\w'’-]+){{1,5}}?,? (?:n\.?º ?)?\d{{1,4}}(?:{_BREAK}\d{{5}} {_TOWN})?")),
-    ("name", "given", re.compile(rf"(?<![\w'’@.-]){_GIV}{_INI}{{0,2}}{_GAP}{_SUR}(?!\w)")),
-    ("name", "turned", re.compile(rf"(?<![\w'’@.-]){_SUR},{_GAP}{_GIV}{_INI}{{0,2}}(?!\w)")),
-    ("name", "initial", re.compile(rf"(?<![\w'’@.-])[{_UP}]\.(?:{_GAP}?[{_UP}]\.)?{_GAP}{_SUR}(?!\w)")),
-    ("name", "cued", re.compile(rf"(?<=[:,=/(>|] ){_CAP}{_INI}?{_GAP}{_SUR}(?!\w)|(?<=[=|]){_CAP}{_INI}?{_GAP}{_SUR}(?!\w)")),
-)
-#: What a text must hold for a pattern to be worth trying.
-_NEEDS = {
-    "at": lambda t: "@" in t,
-    "spelt": re.compile(r"[\[({<]\s?(?:at|AT|@)\s?[\])}>]|\s@|@\s").search,
-    "words": re.compile(r"\s(?:dot|DOT)\s").search,
-    "cued": re.compile(r"[Pp]assport|Ausweis|Steuer|licence no|[:,=/(>|] ?[^\W\d_]").search,
-    "box": lambda t: "Box" in t,
-}
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?{_GAP}(?=[{_UP}a-z])")
-_SURNAME = re.compile(_SUR)
-#: Marks that join what follows to what stands before.
-_JOINED = ("_", "'", "’", "@", ".", "+", "-")
-_LOOSE = re.compile(rf"(?:{'|'.join(PARTICLES)}){_GAP}")
-_TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
-_DIGITS = re.compile(r"\d+")
-_COMPANY = re.compile(rf"(?:[ ,]*(?:&|and|und|y|et)? ?{_CAP})?[ ,]*(?:&|and)? ?(?:{'|'.join(COMPANY)}|N\.V|S\.A)\b")
-_VOCAB = frozenset(g.lower() for g in GIVEN)
-
-
-@dataclass(frozen=True, slots=True)
-class Segment:
-    """A candidate: characters `start` to `end` of a text as a detail of some kind, and the pattern that proposed it."""
-
-    start: int
-    end: int
-    kind: str
-    how: str
-
-
-def propose(text: str) -> list[Segment]:
-    """Candidate segments of a text, by end. Surnames met with a title or given name are also proposed where they stand alone."""
-    out: dict[tuple[int, int, str], Segment] = {}
-
-    def add(a: int, b: int, kind: str, how: str) -> None:
-        if b - a <= LONGEST:
-            out.setdefault((a, b, kind), Segment(a, b, kind, how))
-
-    surnames: set[str] = set()
-    upper = any(c.isupper() for c in text)
-    digits = any(c.isdigit() for c in text)
-    for kind, how, pattern in PROPOSE:
-        if (kind == "name" and not upper) or (kind in ("phone", "id_number") and not digits) or (how in _NEEDS and not _NEEDS[how](text)):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if kind == "phone" and sum(map(str.isdigit, m[0])) < LEAST_DIGITS:
-                continue
-            add(a, b, kind, how)
-            if kind == "name":
-                s = m[0].split(",")[0] if how == "turned" else m[0]
-                surnames.add(s.split()[-1])
-                bare = _LOOSE.match(m[0])
-                if bare:  # "de" may be a preposition of the text
-                    add(a + bare.end(), b, kind, how)
-                if how in ("given", "initial", "cued"):
-                    # a shorter reading: without what follows a hyphen-free surname of several words
-                    words = list(re.finditer(r"\S+", m[0]))
-                    if len(words) > 2:
-                        add(a, a + words[-2].end(), kind, how + "-")
-            if kind == "phone" and how == "groups":
-                plain = re.search(r"\s?(?:ext\.?|x|extension|Durchwahl)\s?\d{1,5}$", m[0])
-                if plain:
-                    add(a, a + plain.start(), kind, how)
-            if kind == "address" and how in ("street", "box"):
-                short = re.split(r",|\n", m[0])[0]
-                if len(short) < b - a:
-                    add(a, a + len(short), kind, how + "-")
-    if upper:
-        for m in _TITLED.finditer(text):
-            s = _SURNAME.match(text, m.end())
-            if s:
-                add(*s.span(), "name", "titled")
-                surnames.add(s[0].split()[-1])
-        for s in surnames:
-            if len(s) > 2 and s.lower() not in _VOCAB:
-                a = text.find(s)
-                while a >= 0:
-                    b = a + len(s)
-                    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
-                    alone = not (before.isalnum() or before in _JOINED) and not (after.isalnum() or after in ("_", "@", "-") or (after == "." and text[b + 1 : b + 2].isalnum()))
-                    if alone or (not before and not after):
-                        add(a, b, "name", "again")
-                    a = text.find(s, b)
-    return sorted(out.values(), key=lambda c: (c.end, c.start, c.kind))
-
-
-def _shape(token: str) -> str:
-    if token.isdigit():
-        return f"#{min(len(token), 6)}"
-    if token[0].isupper():
-        low = token.lower()
-        return "Given" if low in _VOCAB else token if low in _KNOWN else "Xx"
-    return token
-
-
-#: Capitalised words of a context that are kept as they are; others count as an unknown capitalised word.
-_KNOWN = frozenset(
-    [t.lower() for t in TITLES]
-    + [c.lower() for c in COMPANY]
-    + (
-        "reporting person address attn contact contacto ansprechpartner telefon tel fax call box suite floor the a an by no id number ssn name mail analyst employee payroll taxpayer insurance national "
-        "documento order directors signed copies shareholder service send questions between after of invoice reference model employer lot batch cusip sections exhibit room form note item"
-    ).split()
-)
-
-
-def features(text: str, c: Segment) -> list[str]:
-    """What a whole segment and its surroundings look like."""
-    left = _TOKENS.findall(text[max(0, c.start - 48) : c.start])[-5:]
-    right = _TOKENS.findall(text[c.end : c.end + 32])[:3]
-    ls = [_shape(t) for t in left]
-    l1, l2 = (ls[-1] if ls else "^"), (ls[-2] if len(ls) > 1 else "^")
-    r1 = _shape(right[0]) if right else "$"
-    r2 = _shape(right[1]) if len(right) > 1 else "$"
-    own = text[c.start : c.end]
-    f = ["b", "h=" + c.how, "l1=" + l1, "l2=" + l2, f"l={l2}_{l1}", "r1=" + r1, f"r={r1}_{r2}", f"hl={c.how}_{l1}", f"hr={c.how}_{r1}"]
-    f += [f"w={t.lower()}" for t in set(ls)]
-    if c.kind in ("phone", "id_number"):
-        runs = _DIGITS.findall(own)
-        total = sum(map(len, runs))
-        marks = "".join(sorted(set(re.sub(r"[\d ]", "", own))))[:6]
-        f += ["n=" + "-".join(str(len(r)) for r in runs[:7]), f"t={total}", "m=" + marks, f"d={runs[0][:2] if runs and len(runs[0]) == 3 else ''}", "+=" + str(own[0] in "+(")]
-        f += [f"t={total}_{l1}", f"n={'-'.join(str(len(r)) for r in runs[:7])}_{own[0] in '+('}"]
-    elif c.kind == "name":
-        first = own.split()[0].strip(",.")
-        f += [
-            f"k={len(own.split())}",
-            f"g={first.lower() in _VOCAB}",
-            f"co={bool(_COMPANY.match(text, c.end))}",
-            f"up={own.isupper()}",
-            f"ti={bool(re.search(rf'(?:{chr(124).join(TITLES)})[.]?(?:[ \t ]|&nbsp;)+$', text[max(0, c.start - 16) : c.start]))}",
-            f"pa={own.split()[0] in PARTICLES}",
-            f"xg={bool(re.search(r'[^\W\d_]$', text[max(0, c.start - 2) : c.start].rstrip(' ')))}",
-        ]
-        f.append(f"co_h={f[-5]}_{c.how}")
-    elif c.kind == "address":
-        f += [f"zip={bool(re.search(r'[0-9]{5}', own))}", f"com={min(own.count(','), 3)}", f"nl={chr(10) in own}", f"hz={c.how}_{bool(re.search(r'[0-9]{5}', own))}"]
-    else:
-        f += [f"dots={min(own.count('.'), 3)}", f"sp={' ' in own}"]
-    return [c.kind + ":" + x for x in f]
-
-
-def _links(cands: list[Segment]) -> tuple[list[int], list[list[int]]]:
+
+def _links(cands: list[Segment]) -> tuple[list[int], list[range]]:
     """Per candidate: how many candidates end so early that they have no influence, and which end just before it."""
     ends = [c.end for c in cands]
-    far, near = [], []
-    from bisect import bisect_right
-
-    for c in cands:
-        f = bisect_right(ends, c.start - NEAR - 1)
-        far.append(f)
-        near.append([i for i in range(f, bisect_right(ends, c.start))])
-    return far, near
+    far = [bisect_right(ends, c.start - NEAR - 1) for c in cands]
+    return far, [range(f, bisect_right(ends, c.start)) for f, c in zip(far, cands)]
 
 
 def _pair(text: str, a: Segment, b: Segment) -> str:
     return f"{a.kind}>{b.kind}:{text[a.end : b.start].strip() or '_'}"
 
 
-def decode(text: str, cands: list[Segment], w: dict[str, float]) -> list[Segment]:
+def find(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[Segment]:
+    """The details of a text: the non-overlapping choice of candidates with the greatest total score."""
+    page = read(text, lexicon)
+    return decode(page, propose(page), w)
+
+
+def decode(page: Page, cands: list[Segment], w: dict[str, float]) -> list[Segment]:
     """The non-overlapping choice of segments with the greatest total score."""
     if not cands:
         return []
     far, near = _links(cands)
-    score = [sum(w.get(f, 0.0) for f in features(text, c)) for c in cands]
+    get = w.get
+    score = [sum([get(f, 0.0) for f in features(page, c)]) for c in cands]
     best: list[tuple[float, int]] = [(0.0, -1)]  # up to candidate i: value, last chosen
     value, back = [0.0] * len(cands), [-1] * len(cands)
     for i, c in enumerate(cands):
         v, last = best[far[i]]
         for j in near[i]:
-            x = value[j] + w.get(_pair(text, cands[j], c), 0.0)
+            x = value[j] + get(_pair(page.text, cands[j], c), 0.0)
             if x > v:
                 v, last = x, j
         value[i], back[i] = v + score[i], last
@@ -277,112 +62,138 @@ def decode(text: str, cands: list[Segment], w: dict[str, float]) -> list[Segment
     return out[::-1]
 
 
-def _log_add(xs: Iterable[float]) -> float:
-    xs = list(xs)
+def _log_add(xs: Sequence[float]) -> float:
     m = max(xs)
-    return m + math.log(sum(math.exp(x - m) for x in xs))
+    return m + math.log(sum([math.exp(x - m) for x in xs]))
 
 
-def fit(texts: list[tuple[str, set[tuple[int, int, str]]]], rounds: int = 12, rate: float = 0.25, decay: float = 2e-4) -> dict[str, float]:
-    """Weights that maximise the conditional likelihood of the labelled segmentations (AdaGrad, one text at a time).
+def fit(texts: list[tuple[str, set[tuple[int, int, str]]]], lexicon: Lexicon, rounds: int = 4, rate: float = 0.2, decay: float = 2e-3, least: int = 3) -> dict[str, float]:
+    """Weights that maximise the conditional likelihood of the labelled segmentations (AdaGrad, one text at a time, averaged
+    over the rounds after the first).
 
-    `texts` pairs a text with its details as (start, end, kind). Expectations come from the forward and backward sums over all
+    `texts` pairs a text with its details as (start, end, kind). What fewer than `least` candidates show has no weight. Expectations come from the forward and backward sums over all
     segmentations of the text's candidates.
     """
+    index: dict[str, int] = {}
     data = []
     for text, gold in texts:
-        cands = propose(text)
+        page = read(text, lexicon)
+        cands = propose(page)
         if not cands:
             continue
         far, near = _links(cands)
-        after: list[list[int]] = [[] for _ in cands]
-        for i, js in enumerate(near):
-            for j in js:
-                after[j].append(i)
-        pairs = {(j, i): _pair(text, cands[j], cands[i]) for i, js in enumerate(near) for j in js}
-        chosen = [i for i, c in enumerate(cands) if (c.start, c.end, c.kind) in gold]
-        data.append((cands, [features(text, c) for c in cands], far, near, pairs, chosen))
-    w: dict[str, float] = {}
-    seen: dict[str, float] = {}
-    for r in range(rounds):
-        for cands, feats, far, near, pairs, chosen in data:
-            n = len(cands)
-            s = [sum(w.get(f, 0.0) for f in fs) for fs in feats]
-            t = {k: w.get(p, 0.0) for k, p in pairs.items()}
+        feats = [[index.setdefault(f, len(index)) for f in features(page, c)] for c in cands]
+        pairs = [[(j, index.setdefault(_pair(text, cands[j], c), len(index))) for j in near[i]] for i, c in enumerate(cands)]
+        after: list[list[tuple[int, int]]] = [[] for _ in cands]
+        for i, js in enumerate(pairs):
+            for j, p in js:
+                after[j].append((i, p))
+        order = sorted(range(len(cands)), key=lambda i: cands[i].start)
+        starts = [cands[i].start for i in order]
+        # candidates that start so late that they are beyond the influence of a pair
+        beyond = [bisect_left(starts, c.end + NEAR + 1) for c in cands]
+        on = frozenset(i for i, c in enumerate(cands) if (c.start, c.end, c.kind) in gold)
+        data.append((feats, far, pairs, after, order, beyond, on))
+    shown = [0] * len(index)
+    for feats, _, pairs, *_ in data:
+        for fs in feats:
+            for f in fs:
+                shown[f] += 1
+        for ps in pairs:
+            for _, p in ps:
+                shown[p] += 1
+    for feats, *_ in data:
+        feats[:] = [[f for f in fs if shown[f] >= least] for fs in feats]
+    w, seen, mean = [0.0] * len(index), [0.0] * len(index), [0.0] * len(index)
+    steps = taken = 0
+    exp = math.exp
+    for turn in range(rounds):
+        for feats, far, pairs, after, order, beyond, on in data:
+            n = len(feats)
+            s = [sum([w[f] for f in fs]) for fs in feats]
             fwd, upto = [0.0] * n, [0.0]
             for i in range(n):
-                fwd[i] = s[i] + _log_add([upto[far[i]], *(fwd[j] + t[j, i] for j in near[i])])
-                upto.append(_log_add([upto[-1], fwd[i]]))
+                fwd[i] = s[i] + _log_add([upto[far[i]], *[fwd[j] + w[p] for j, p in pairs[i]]])
+                upto.append(_log_add((upto[-1], fwd[i])))
             total = upto[-1]
-            # backward: sum over what may follow candidate i
-            bwd = [0.0] * n
-            for i in range(n - 1, -1, -1):
-                terms = [0.0]
-                for k in range(i + 1, n):
-                    if cands[k].start < cands[i].end:
-                        continue
-                    terms.append(s[k] + bwd[k] + (t[i, k] if (i, k) in t else 0.0))
-                bwd[i] = _log_add(terms)
-            grad: dict[str, float] = {}
-            on = set(chosen)
+            # backward: sum over what may follow a candidate; later starts come first
+            bwd, rest = [0.0] * n, [0.0] * (n + 1)
+            for x in range(n - 1, -1, -1):
+                i = order[x]
+                bwd[i] = _log_add([rest[beyond[i]], *[s[k] + bwd[k] + w[p] for k, p in after[i]]])
+                rest[x] = _log_add((rest[x + 1], s[i] + bwd[i]))
+            grad: dict[int, float] = {}
             for i in range(n):
-                g = (i in on) - math.exp(min(0.0, fwd[i] + bwd[i] - total))
-                if abs(g) > 1e-4:
+                g = (i in on) - exp(min(0.0, fwd[i] + bwd[i] - total))
+                if abs(g) > 1e-3:
                     for f in feats[i]:
                         grad[f] = grad.get(f, 0.0) + g
-            for (j, i), p in pairs.items():
-                g = (i in on and j in on) - math.exp(min(0.0, fwd[j] + t[j, i] + s[i] + bwd[i] - total))
-                if abs(g) > 1e-4:
-                    grad[p] = grad.get(p, 0.0) + g
+                for j, p in pairs[i]:
+                    g = (i in on and j in on) - exp(min(0.0, fwd[j] + w[p] + s[i] + bwd[i] - total))
+                    if abs(g) > 1e-3:
+                        grad[p] = grad.get(p, 0.0) + g
             for f, g in grad.items():
-                g -= decay * w.get(f, 0.0)
-                seen[f] = seen.get(f, 0.0) + g * g
-                w[f] = w.get(f, 0.0) + rate * g / math.sqrt(seen[f] + 1e-6)
-    return {f: round(x, 4) for f, x in w.items() if abs(x) > 0.01}
-
-
-@lru_cache(maxsize=1)
-def model(samples: int = 1500, seed: int = 7) -> dict[str, float]:
+                g -= decay * w[f]
+                seen[f] += g * g
+                w[f] += rate * g / math.sqrt(seen[f] + 1e-6)
+            steps += 1
+            if turn and steps % 50 == 0:
+                mean = [a + b for a, b in zip(mean, w)]
+                taken += 1
+    if taken:
+        w = [x / taken for x in mean]
+    return {f: round(w[i], 3) for f, i in index.items() if abs(w[i]) > 0.01}
+
+
+@lru_cache(maxsize=2)
+def model(samples: int = 4000, seed: int = 7, vocabularies: tuple[str, ...] = VOCABULARIES) -> dict[str, float]:
     """Weights fitted to `samples` labelled texts that the training grammar writes (a documented bound; always the same)."""
     from .pii_grammar import write
 
-    return fit(write(samples, seed))
+    lexicon = Lexicon(vocabularies)
+    return fit(write(samples, seed, lexicon), lexicon)
 
 
-def details(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+def details(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, vocabularies: tuple[str, ...] = VOCABULARIES
+) -> DataFrame:
     """One row per personal detail: doc_id, kind, start_pos and end_pos (characters before it and before what follows).
 
     Null and empty texts have none; repeated documents each count; an empty table gives no rows; extra columns are ignored.
-    Texts of any length are read whole; a detail of more than LONGEST characters is not one.
+    Texts and details of any length are read whole.
     """
-    w = weights or model()
+    w = weights or model(vocabularies=vocabularies)
     kind = dict(docs.dtypes)[doc_id]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(vocabularies)
         for b in batches:
-            rows = [(i, c.kind, c.start, c.end) for i, t in zip(b["i"], b["t"]) for c in decode(t, propose(t), w)]
+            rows = [(i, c.kind, c.start, c.end) for i, t in zip(b["i"], b["t"]) for c in find(t, lexicon, w)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos"])
 
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    return rows.mapInPandas(find, f"doc_id {kind}, kind string, start_pos int, end_pos int")
+    return rows.mapInPandas(each, f"doc_id {kind}, kind string, start_pos int, end_pos int")
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
+def redact(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None, vocabularies: tuple[str, ...] = VOCABULARIES
+) -> DataFrame:
     """Every document with each detail replaced by a placeholder of its kind, such as [EMAIL]: doc_id, text, n_details.
 
     Null texts stay null. See `details`.
     """
-    w = weights or model()
+    w = weights or model(vocabularies=vocabularies)
     kind = dict(docs.dtypes)[doc_id]
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(vocabularies)
         for b in batches:
             out = []
             for i, t in zip(b["i"], b["t"]):
                 if t is None:
                     out.append((i, None, 0))
                     continue
-                found, parts, at = decode(t, propose(t), w), [], 0
+                found, parts, at = find(t, lexicon, w), [], 0
                 for c in found:
                     parts += [t[at : c.start], f"[{c.kind.upper()}]"]
                     at = c.end

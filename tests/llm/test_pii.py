@@ -1,19 +1,70 @@
+import os
+import re
+from collections import Counter
+
+import duckdb
 import pytest
+from pii_cases import PLAIN, cases
+
+from tallyframe.llm import pii, pii_candidates, pii_grammar
 
-from tallyframe.llm import pii, pii_grammar
+LEXICON = pii_candidates.Lexicon()
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def find(text):
-    return [(c.kind, text[c.start : c.end]) for c in pii.decode(text, pii.propose(text), pii.model())]
+    return [(c.kind, text[c.start : c.end]) for c in pii.find(text, LEXICON, pii.model())]
 
 
 def test_held_out_texts():
+    """Other texts of the grammar."""
     right = wrong = missed = 0
-    for text, gold in pii_grammar.write(300, 1234):
-        got = {(c.start, c.kind) for c in pii.decode(text, pii.propose(text), pii.model())}
+    for text, gold in pii_grammar.write(300, 1234, LEXICON):
+        got = {(c.start, c.kind) for c in pii.find(text, LEXICON, pii.model())}
         want = {(a, k) for a, _, k in gold}
         right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+    assert right / (right + wrong) > 0.93 and right / (right + missed) > 0.9
+
+
+def test_unseen_people_and_sentences():
+    """Recall and precision per kind over names, frames and numbers that the grammar does not have."""
+    every, right, wrong = Counter(), Counter(), Counter()
+    for kind, detail, text in cases():
+        got = find(text)
+        every[kind] += 1
+        right[kind] += (kind, detail) in got
+        wrong.update(k for k, d in got if (k, d) != (kind, detail))
+    for text in PLAIN:
+        wrong.update(k for k, _ in find(text))
+    for kind in pii_candidates.KINDS:
+        assert right[kind] >= 0.9 * every[kind], (kind, right[kind], every[kind])
+        assert right[kind] >= 0.9 * (right[kind] + wrong[kind]), (kind, right[kind], wrong[kind])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_grammar_and_cases_share_no_sentence_with_the_documents():
+    folder = DATA.replace("sf0.001", "sf0.01")
+    texts = "\n".join(t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet' WHERE text IS NOT NULL").fetchall())
+    for f in pii_grammar.frames():
+        for part in re.split(r"\{\w+\}", f):
+            assert len(part) < 15 or part not in texts, part
+
+
+def test_gates_lose_nothing(monkeypatch):
+    """A text that a pattern's gate turns away holds no match of the pattern."""
+    texts = [t for t, _ in pii_grammar.write(400, 5, LEXICON)] + [t for *_, t in cases()]
+    texts += ["ir at host dot\ntest", "ir at host dot\u00a0test", "a\t@ b.test", "a[\nat\n]b.test", "PO Box 12", "Plaza Mayor 5", "C/ Sol 3"]
+    gated = [pii_candidates.propose(pii_candidates.read(t, LEXICON)) for t in texts]
+    monkeypatch.setattr(pii_candidates, "NEEDS", {})
+    assert gated == [pii_candidates.propose(pii_candidates.read(t, LEXICON)) for t in texts]
+
+
+def test_nothing_is_too_long_or_too_short():
+    mail = "a" * 500 + "@" + "b" * 300 + ".example"
+    assert ("email", mail) in find(f"Write to {mail}, please.")
+    assert find("Anna Li. Li will retire") == [("name", "Anna Li"), ("name", "Li")]
+    assert ("name", "van Zapras") in find("Mr. Konrad Veidt and Mr. van Zapras met. Then van Zapras left.")
+    assert [d for k, d in find("The board asked Anna Maria Schmidt and Jan Dvořák to stay.")] == ["Anna Maria Schmidt", "Jan Dvořák"]
 
 
 @pytest.mark.parametrize(
