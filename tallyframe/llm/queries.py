@@ -135,8 +135,8 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 # -- evaluation texts leaking into training text --------------------------------------------------------------------
 
 
-def _leaked(spark: SparkSession, root: str) -> DataFrame:
-    return leakage.leaked_windows(table(spark, root, "documents"), table(spark, root, "eval_items"))
+def _leaked(spark: SparkSession, root: str, changed: bool = True) -> DataFrame:
+    return leakage.leaked_windows(table(spark, root, "documents"), table(spark, root, "eval_items"), changed=changed)
 
 
 _SQL_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
@@ -150,7 +150,13 @@ _SQL_WINDOWS = f"""
 @R.add(f"WITH {_SQL_WINDOWS} SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (win)")
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that contain at least 13 consecutive words of an item's passage."""
-    return _leaked(spark, root).where("verbatim").select("doc_id", "item_id").distinct()
+    return _leaked(spark, root, changed=False).select("doc_id", "item_id").distinct()
+
+
+@R.add(f"WITH {_SQL_WINDOWS} SELECT doc_id, item_id, count(DISTINCT ew.pos) AS verbatim_windows, min(dw.pos) - 1 AS first_pos FROM dw JOIN ew USING (win) GROUP BY ALL")
+def p8_verbatim(spark: SparkSession, root: str) -> DataFrame:
+    """Affected documents and items: how many windows of the passage stand in the text word for word, and where the first begins."""
+    return leakage.leaks(_leaked(spark, root, changed=False)).drop("changed_windows")
 
 
 @R.add()
