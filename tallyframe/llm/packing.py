@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,16 @@ from ..session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that goes with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Limits of one container: tokens, segments, and tokens that bear loss.
-CAPACITY, SEGMENTS, LOSS = 2048, 64, 2048
+#: Limits of one container: tokens, segments, and tokens that bear loss (fewer than tokens, so that each limit can be the one that is met).
+CAPACITY, SEGMENTS, LOSS = 2048, 64, 1792
+#: What ends the prompt of a document, which bears no loss.
+PROMPT_END = "\n\n"
 #: Pieces packed together by one task.
-SHARD = 20_000
-#: Characters tokenised at once; longer texts are cut before a blank, where the splitting pattern cuts too.
+SHARD = 10_000
+#: Characters tokenised at once, at least; longer texts are cut at the next place where the splitting pattern cuts whatever stands around.
 STRETCH = 100_000
+# a blank between a mark or letter and a letter or digit: what follows begins a part of its own, blank included
+_SEAM = re.compile(r"(?<=\S) (?=[^\W_])")
 
 
 def tokenizer(path: str = VOCABULARY):
@@ -34,19 +39,14 @@ def tokenizer(path: str = VOCABULARY):
 
 
 def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """A long text in parts that tokenise as they would together: cut before a single blank between two word characters.
-
-    Without such a place within a stretch's length the text is cut there (a run of that length is no prose).
-    """
+    """A long text in parts that tokenise as they would together; a text without a seam stays whole."""
     out, start = [], 0
     while len(text) - start > size:
-        end = start + size
-        for i in range(end, max(start, end - 10_000), -1):
-            if text[i] == " " and text[i - 1].isalnum() and text[i + 1 : i + 2].isalnum():
-                end = i
-                break
-        out.append(text[start:end])
-        start = end
+        seam = _SEAM.search(text, start + size)
+        if seam is None:
+            break
+        out.append(text[start : seam.start()])
+        start = seam.start()
     return [*out, text[start:]]
 
 
@@ -56,14 +56,13 @@ def tokens_in(encode, text: str) -> int:
 
 
 def pieces(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, loss_capacity: int = LOSS, vocabulary: str = VOCABULARY
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, prompt_end: str = PROMPT_END
 ) -> DataFrame:
     """Documents as pieces no longer than a container: doc_id, piece, first_token, n_tokens, loss_tokens.
 
-    A document is the prompt up to its first blank line, if it has one, which bears no loss, and the rest, which does. Only
+    A document is the prompt up to the first `prompt_end`, if it has one, which bears no loss, and the rest, which does. Only
     a document that exceeds a container is cut, into full pieces and a rest. Null and empty texts give one piece of no tokens.
     """
-    most = min(capacity, loss_capacity)
     kind = dict(docs.dtypes)[doc_id]
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,11 +72,10 @@ def pieces(
             for i, t in zip(b["i"], b["t"]):
                 t = t or ""
                 n = tokens_in(encode, t)
-                at = t.find("\n\n")
-                free = min(n, tokens_in(encode, t[:at])) if at > 0 else 0
-                step = n if n <= capacity and n - free <= loss_capacity else most
-                for k, a in enumerate(range(0, n, step) if n else [0]):
-                    z = min(n, a + step)
+                at = t.find(prompt_end)
+                free = min(n, tokens_in(encode, t[:at].rstrip())) if at > 0 else 0
+                for k, a in enumerate(range(0, n, capacity) if n else [0]):
+                    z = min(n, a + capacity)
                     rows.append((i, k, a, z - a, z - max(a, min(z, free))))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "first_token", "n_tokens", "loss_tokens"])
 
@@ -127,6 +125,7 @@ def fill_containers(
 ) -> DataFrame:
     """Add `container` to pieces (see `pieces`), with limits on tokens, segments and loss-bearing tokens at once.
 
+    A piece that alone bears more loss than the limit is not cut for it: it takes the whole limit, so only pieces without loss join it.
     Pieces are dealt at random into shards of about `shard` pieces, each packed by one task, so a shard's size does not
     depend on the size of the table or on any key; what a shard leaves unused is about one container. A piece as
     long as a container needs no company. Pieces of no tokens take a segment like others. An empty table stays empty.
@@ -134,12 +133,32 @@ def fill_containers(
     items = cut(items)
     shards = max(1, -(-items.count() // shard))
     dealt = items.withColumn("__s", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    # the shard's number is the number of its partition, so no task packs two
+    dealt = dealt.repartitionById(shards, "__s")
 
     def pack_shard(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece"]).reset_index(drop=True)
-        demand = np.column_stack([group["n_tokens"], np.ones(len(group), np.int64), group["loss_tokens"]])
+        demand = np.column_stack([group["n_tokens"], np.ones(len(group), np.int64), np.minimum(group["loss_tokens"], loss_capacity)])
         group["container"] = pack(demand, np.array([capacity, segments, loss_capacity])) * shards + group["__s"]
         return group.drop(columns="__s")
 
     schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", container long"
-    return dealt.repartition(shards, "__s").groupBy("__s").applyInPandas(pack_shard, schema)
+    return dealt.groupBy("__s").applyInPandas(pack_shard, schema)
+
+
+def containers(packed: DataFrame) -> DataFrame:
+    """One row per container: its tokens, segments, loss-bearing tokens and the loss of its greatest piece."""
+    return packed.groupBy("container").agg(
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"), F.max("loss_tokens").alias("most_loss")
+    )
+
+
+def fill_report(packed: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int = LOSS) -> DataFrame:
+    """One row: containers, the fewest that any packing could need, how far each limit is used (percent), and how many containers meet each limit."""
+    c = containers(packed).withColumn("bound", F.least("loss", F.lit(loss_capacity)))
+    share = lambda x, most: F.round(F.try_divide(100.0 * F.sum(x), F.count("*") * most), 3)
+    fewest = F.greatest(*[F.ceil(F.sum(x) / most) for x, most in (("tokens", capacity), ("segments", segments), ("bound", loss_capacity))])
+    return c.agg(
+        F.count("*").alias("containers"), F.coalesce(fewest, F.lit(0)).alias("fewest"), share("tokens", capacity).alias("tokens_used"), share("segments", segments).alias("segments_used"),
+        share("bound", loss_capacity).alias("loss_used"), *[F.count_if(F.col(x) >= most).alias(f"{x}_met") for x, most in (("tokens", capacity), ("segments", segments), ("loss", loss_capacity))],
+    )

@@ -132,6 +132,27 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_containers(packing.pieces(table(spark, root, "documents")))
 
 
+@R.add()
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    """How well the containers of all documents are filled, limit by limit."""
+    return packing.fill_report(p7_containers(spark, root))
+
+
+@R.add("SELECT doc_id, true AS whole, true AS within_limits FROM documents")
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Every document once: whether its pieces follow each other without a gap and are full but for the last, and whether its containers keep the limits."""
+    packed = cut(p7_containers(spark, root))
+    limits = packing.containers(packed).select(
+        "container",
+        ((F.col("tokens") <= packing.CAPACITY) & (F.col("segments") <= packing.SEGMENTS) & ((F.col("loss") <= packing.LOSS) | (F.col("loss") == F.col("most_loss")))).alias("kept"),
+    )
+    last = F.max("piece")
+    whole = (F.count("*") == last + 1) & (F.sum("first_token") == packing.CAPACITY * last * (last + 1) / 2) & (
+        F.sum(F.when(F.col("n_tokens") == packing.CAPACITY, 1).otherwise(0)) >= last
+    )
+    return packed.join(limits, "container").groupBy("doc_id").agg(whole.alias("whole"), F.min("kept").alias("within_limits"))
+
+
 # -- evaluation texts leaking into training text --------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyframe.llm.packing import VOCABULARY, fill_containers, pack, pieces, stretches, tokenizer, tokens_in
+from tallyframe.llm.packing import LOSS, VOCABULARY, fill_containers, pack, pieces, stretches, tokenizer, tokens_in
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 SCHEMA = "doc_id long, piece int, first_token int, n_tokens int, loss_tokens int"
@@ -65,3 +65,31 @@ def test_containers(spark):
     assert all(sum(g.n_tokens for g in c) <= 2048 and len(c) <= 64 for c in load.values())
     assert sum(x[3] for x in rows) / (2048 * len(load)) > 0.97
     assert fill_containers(df.limit(0)).count() == 0
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("text", ["x" * 210_001, "漢字" * 60_000, ("ab," * 70_000) + " tail of it", "a b  c" * 40_000, "no\n\nblank\n" * 25_000 + "end here"])
+def test_texts_without_seams_tokenise_whole(text):
+    assert "".join(stretches(text)) == text
+    assert tokens_in(tokenizer().encode_ordinary, text) == len(tokenizer().encode_ordinary(text))
+
+
+def test_loss_limit_binds_and_long_pieces_stay_whole(spark):
+    rows = [(i, 0, 0, 500, 500) for i in range(400)] + [(1000 + i, 0, 0, 500, 0) for i in range(100)] + [(5000, 0, 0, 1900, 1900), (5001, 0, 0, 140, 0), (5001, 0, 0, 140, 0)]
+    got = fill_containers(spark.createDataFrame(rows, SCHEMA)).collect()
+    load = {}
+    for g in got:
+        load.setdefault(g.container, []).append(g)
+    for c in load.values():
+        loss = [g.loss_tokens for g in c]
+        assert sum(loss) <= LOSS or sum(loss) == max(loss)
+    # four pieces of 500 tokens fit by tokens, but only three by loss
+    assert max(sum(g.loss_tokens == 500 for g in c) for c in load.values()) == 3
+    assert {tuple(sorted(g.n_tokens for g in c)) for c in load.values() if any(g.doc_id == 5000 for g in c)} == {(140, 1900)}
+
+
+def test_each_shard_has_a_task(spark):
+    rows = [(i, 0, 0, 7, 3) for i in range(3000)]
+    packed = fill_containers(spark.createDataFrame(rows, SCHEMA), shard=200)
+    per = packed.selectExpr("spark_partition_id() as p", "container % 15 as s").distinct().groupBy("p").count().collect()
+    assert len(per) == 15 and all(r["count"] == 1 for r in per)
