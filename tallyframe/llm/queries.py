@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import concept_key
@@ -34,58 +34,100 @@ def dated_facts(spark: SparkSession, root: str) -> DataFrame:
     })
 
 
-def fact_bundles() -> dict[str, survivors.Bundle]:
-    """The measure with its source, the comparison, and the presentation; all in one unit."""
+#: Points of trust: an amendment, each of weight, unit and comparison on the measure's record, a comparison at all, a presentation at all.
+POINTS = {"amended": 4, "present": 2, "comparison": 4, "comparison_amended": 2, "presentation": 2, "presentation_amended": 1}
+
+
+def fact_bundles(points: bool) -> dict[str, survivors.Bundle]:
+    """The measure with its source, the comparison, and the presentation.
+
+    With `points`, trust adds up over the bundles, so that a record with a comparison may outweigh a measure that is trusted a little more; without,
+    the measure alone decides and the other bundles follow it.
+    """
+    amended = F.col("is_amendment").cast("int")
     source = [F.col("is_amendment"), F.col("filing_date")]
+    give = lambda c: c if points else None
     return {
-        "measure": survivors.Bundle(["value", "unit", "form_type", "filing_id", "period"], F.col("value").isNotNull(), [*source, F.col("present")]),
-        "comparison": survivors.Bundle(["comparative_value", "comparative_period_end"], F.col("comparative_value").isNotNull(), source),
-        "presentation": survivors.Bundle(["label", "weight", "position", "parent_id", "abstract_id"], F.col("weight").isNotNull() & F.col("label").isNotNull(), source),
-    }
+        "measure": survivors.Bundle(
+            ["value", "unit", "form_type", "filing_id", "period"], F.col("value").isNotNull(), [*source, F.col("present")], give(amended * POINTS["amended"] + F.col("present") * POINTS["present"])
+        ),
+        "comparison": survivors.Bundle(
+            ["comparative_value", "comparative_period_end"], F.col("comparative_value").isNotNull(), source, give(amended * POINTS["comparison_amended"] + POINTS["comparison"])
+        ),
+        "presentation": survivors.Bundle(
+            ["label", "weight", "position", "parent_id", "abstract_id"], F.col("weight").isNotNull() & F.col("label").isNotNull(), source,
+            give(amended * POINTS["presentation_amended"] + POINTS["presentation"]),
+        ),
+    }
+
+
+def fact_determinants() -> list[Column]:
+    """What a survivor may have only one of: a unit, and an edition (amended or as first filed)."""
+    return [F.col("unit_key"), F.col("is_amendment")]
 
 
 _SQL_DATED = f"""
-    f AS (SELECT f.*, {SQL_KEY} AS k, g.filing_date, regexp_matches(upper(f.form_type), '^\\s*10-?\\s*[KQ]\\s*[/-]?\\s*A\\b') AS amended,
+    f AS (SELECT f.*, {SQL_KEY} AS k, g.filing_date, coalesce(regexp_matches(upper(f.form_type), '^\\s*10-?\\s*[KQ]\\s*[/-]?\\s*A\\b'), false) AS amended,
                  (f.weight IS NOT NULL)::INT + (f.unit IS NOT NULL)::INT + (f.comparative_value IS NOT NULL)::INT AS present, lower(trim(f.unit)) AS u
           FROM financial_facts f LEFT JOIN filings g ON g.id = f.filing_id WHERE NOT f.is_abstract),
-    m AS (SELECT * FROM (SELECT *, count(*) OVER line AS n, row_number() OVER (PARTITION BY company_id, statement, k, axis, member, period_end
-              ORDER BY value IS NULL, coalesce(amended, false) DESC, filing_date DESC NULLS LAST, present DESC, id) AS rn
-          FROM f WINDOW line AS (PARTITION BY company_id, statement, k, axis, member, period_end)) WHERE n >= 2 AND rn = 1 AND value IS NOT NULL)"""
+    n AS (SELECT *, count(*) OVER line AS n, min(id) OVER line AS line FROM f WINDOW line AS (PARTITION BY company_id, statement, k, axis, member, period_end)),
+    g AS (SELECT * FROM n WHERE n >= 2),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY value IS NULL, amended DESC, filing_date DESC NULLS LAST, present DESC, id) AS rn FROM g)
+          WHERE rn = 1 AND value IS NOT NULL)"""
 
 
 @R.add(f"WITH {_SQL_DATED} SELECT id FROM m")
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Ids of the surviving facts: the records that give the measure bundle."""
+    """Ids of the surviving facts: the records that give the measure bundle, whose order alone decides here."""
     facts = dated_facts(spark, root)
-    return survivors.choose_bundles(facts, LINE, "id", fact_bundles(), F.col("unit_key")).select(F.col("measure").alias("id"))
-
-
-@R.add(
-    f"""
-    WITH {_SQL_DATED},
-    c AS (SELECT m.id, f.id AS cid, f.u, row_number() OVER (PARTITION BY m.id ORDER BY coalesce(f.amended, false) DESC, f.filing_date DESC NULLS LAST, f.id) AS rn
-          FROM m JOIN f ON f.company_id = m.company_id AND f.statement = m.statement AND f.k = m.k AND f.axis = m.axis AND f.member = m.member AND f.period_end = m.period_end
-          WHERE f.comparative_value IS NOT NULL AND (f.u = m.u OR f.u IS NULL OR m.u IS NULL)),
-    p AS (SELECT m.id, f.id AS pid, row_number() OVER (PARTITION BY m.id ORDER BY coalesce(f.amended, false) DESC, f.filing_date DESC NULLS LAST, f.id) AS rn
-          FROM m LEFT JOIN c ON c.id = m.id AND c.rn = 1
-          JOIN f ON f.company_id = m.company_id AND f.statement = m.statement AND f.k = m.k AND f.axis = m.axis AND f.member = m.member AND f.period_end = m.period_end
-          WHERE f.weight IS NOT NULL AND f.label IS NOT NULL AND (f.u = coalesce(m.u, c.u) OR f.u IS NULL OR coalesce(m.u, c.u) IS NULL))
-    SELECT m.company_id, m.period_end, m.statement, m.k AS concept, m.axis, m.member, m.id AS measure, cid AS comparison, pid AS presentation,
-           m.value, m.unit, x.comparative_value, y.weight, y.label
-    FROM m LEFT JOIN (SELECT * FROM c WHERE rn = 1) c ON c.id = m.id LEFT JOIN (SELECT * FROM p WHERE rn = 1) p ON p.id = m.id
-    LEFT JOIN f x ON x.id = cid LEFT JOIN f y ON y.id = pid"""
-)
+    return survivors.choose_bundles(facts, LINE, "id", fact_bundles(points=False), fact_determinants()).select(F.col("measure").alias("id"))
+
+
+# every combination of whole bundles of a line is tried
+_SQL_TRIED = f"""
+    {_SQL_DATED},
+    c AS (SELECT line, id, u, amended, filing_date, comparative_value, amended::INT * {POINTS["comparison_amended"]} + {POINTS["comparison"]} AS points FROM g WHERE comparative_value IS NOT NULL
+          UNION ALL SELECT DISTINCT line, NULL::BIGINT, NULL, NULL, NULL, NULL, 0 FROM g),
+    p AS (SELECT line, id, u, amended, filing_date, weight, label, amended::INT * {POINTS["presentation_amended"]} + {POINTS["presentation"]} AS points FROM g WHERE weight IS NOT NULL AND label IS NOT NULL
+          UNION ALL SELECT DISTINCT line, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL, 0 FROM g),
+    tried AS (
+        SELECT a.line, a.company_id, a.period_end, a.statement, a.k AS concept, a.axis, a.member, a.id AS measure, c.id AS comparison, p.id AS presentation, a.value, a.unit, c.comparative_value, p.weight, p.label,
+               a.amended::INT * {POINTS["amended"]} + a.present * {POINTS["present"]} + c.points + p.points AS points,
+               row_number() OVER (PARTITION BY a.line ORDER BY a.amended::INT * {POINTS["amended"]} + a.present * {POINTS["present"]} + c.points + p.points DESC,
+                   a.amended::INT * {POINTS["amended"]} + a.present * {POINTS["present"]} DESC, a.amended DESC, a.filing_date DESC NULLS LAST, a.present DESC, a.id,
+                   c.id IS NULL, c.points DESC, c.amended DESC, c.filing_date DESC NULLS LAST, c.id, p.id IS NULL, p.points DESC, p.amended DESC, p.filing_date DESC NULLS LAST, p.id) AS rn
+        FROM g a JOIN c ON c.line = a.line JOIN p ON p.line = a.line
+        WHERE a.value IS NOT NULL AND (c.id IS NULL OR c.amended = a.amended AND coalesce(c.u = a.u, true)) AND (p.id IS NULL OR p.amended = a.amended AND coalesce(p.u = a.u, true))
+          AND (c.id IS NULL OR p.id IS NULL OR coalesce(p.u = c.u, true)))"""
+
+
+@R.add(f"WITH {_SQL_TRIED} SELECT * EXCLUDE (line, rn, points) FROM tried WHERE rn = 1")
 def p2_survivors(spark: SparkSession, root: str) -> DataFrame:
-    """The surviving facts themselves, built from whole bundles."""
-    facts = dated_facts(spark, root)
-    chosen = cut(survivors.choose_bundles(facts, LINE, "id", fact_bundles(), F.col("unit_key")))
-    built = survivors.build_survivors(facts, chosen, "id", fact_bundles(), LINE)
+    """The surviving facts themselves, built from whole bundles whose trust adds up."""
+    facts, bundles = dated_facts(spark, root), fact_bundles(points=True)
+    chosen = cut(survivors.choose_bundles(facts, LINE, "id", bundles, fact_determinants()))
+    built = survivors.build_survivors(facts, chosen, "id", bundles, LINE)
     return built.select(
         "company_id", "period_end", "statement", F.col("concept_key").alias("concept"), "axis", "member",
         "measure", "comparison", "presentation", "value", "unit", "comparative_value", "weight", "label",
     )
 
 
+@R.add(f"WITH {_SQL_TRIED} SELECT m.id, t.measure FROM m JOIN tried t ON t.line = m.line WHERE t.rn = 1 AND t.measure <> m.id")
+def p2_outweighed(spark: SparkSession, root: str) -> DataFrame:
+    """Lines whose most trusted measure gives way to another one that comes with more: id of the one, measure of the other."""
+    facts = dated_facts(spark, root)
+    one, other = (survivors.choose_bundles(facts, LINE, "id", fact_bundles(points=p), fact_determinants()).select(*LINE, F.col("measure").alias(n)) for p, n in ((False, "id"), (True, "measure")))
+    same = [one[c].eqNullSafe(other[c]) for c in LINE]
+    return one.join(other, same).where("id <> measure").select("id", "measure")
+
+
+@R.add()
+def p2_branching(spark: SparkSession, root: str) -> DataFrame:
+    """How many lines have a survivor, and in how many of them the search branches."""
+    return survivors.branching(dated_facts(spark, root), LINE, "id", fact_bundles(points=True), fact_determinants())
+
+
 # -- mapping free-entered values to the canonical list --------------------------------------------------------------
 
 
