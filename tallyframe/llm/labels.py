@@ -33,6 +33,8 @@ LIGHT = frozenset("a an and at by for from in less of on or other than the to un
 LOOKALIKES = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "8": "b", "@": "a", "$": "s"})
 #: Least token-set similarity of an accepted entry.
 LEAST = 0.74
+#: Entries of a canonical list at most.
+MOST_ENTRIES = 100_000
 #: Least share of a label's letters that an embedded mention must make up.
 LEAST_MENTION = 0.6
 
@@ -90,7 +92,7 @@ class Matcher:
     """Maps typed labels to the entries of one canonical list.
 
     1. An automaton over the normalised names and their aliases finds the mentions embedded in the label; the longest
-       non-overlapping one wins if it makes up most of the label.
+       non-overlapping one wins if the mentions make up most of the label.
     2. Other labels go to token-set similarity: words are matched whatever their order, forgiving up to two edits, short
        forms and a cut end; words shared by many entries weigh little. The best entry counts if it is similar enough.
     Labels that meet neither mean no entry (0).
@@ -110,6 +112,9 @@ class Matcher:
             for t in ts:
                 self.of[t].append(k)
         self.longest = max(map(len, self.weight), default=0)
+        self.by_first = defaultdict(list)  # a short form or beginning has the first letter of its word
+        for t in self.weight:
+            self.by_first[t[0]].append(t)
         self.near = defaultdict(set)
         for t in self.weight:
             for d in _deletes(t, 2 if len(t) > 4 else 1 if len(t) > 2 else 0):
@@ -124,7 +129,7 @@ class Matcher:
         self.known: dict[str, int] = {}
 
     def mention(self, words: str) -> int | None:
-        """The longest non-overlapping mention, if it makes up most of the label."""
+        """The longest of the mentions that do not overlap (of equally long ones the first), if they make up most of the label."""
         padded = f" {words} "
         found = sorted(((n, -end, k) for end, (k, n) in self.automaton.iter(padded)), reverse=True)
         taken: list[tuple[int, int, int]] = []
@@ -132,9 +137,7 @@ class Matcher:
             a, b = -end - n - 1, -end  # the blanks around a mention may be shared
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, k))
-        if len({k for *_, k in taken}) == 1 and sum(b - a for a, b, _ in taken) >= LEAST_MENTION * len(padded):
-            return taken[0][2]
-        return None
+        return taken[0][2] if taken and sum(b - a for a, b, _ in taken) >= LEAST_MENTION * len(padded) else None
 
     def alike(self, token: str) -> dict[str, float]:
         """Canonical words a typed word may stand for, with how alike they are."""
@@ -150,10 +153,10 @@ class Matcher:
                     if 0 < e <= (2 if len(t) > 4 else 1):
                         out[t] = max(out.get(t, 0), 1 - e * (0.9 / max(len(t), 4)) - 0.02)
             if not out and len(token) > 4:
-                for t in self.weight:
-                    if t[0] == token[0] and len(t) > 5 and abs(len(t) - len(token)) < 4 and distance(token, t) == 3:
+                for t in self.by_first[token[0]]:
+                    if len(t) > 5 and abs(len(t) - len(token)) < 4 and distance(token, t) == 3:
                         out[t] = 1 - 2.7 / len(t) - 0.02
-            for t in self.weight:
+            for t in self.by_first[token[0]]:
                 if len(token) < len(t) - 1 and len(t) > 4:
                     if t.startswith(token):
                         out[t] = max(out.get(t, 0), 0.86)
@@ -171,7 +174,7 @@ class Matcher:
             return 0.0, -1
         like = [self.alike(t) for t in typed]
         last = typed[-1]
-        begun = {t for t in self.weight if t.startswith(last) and t != last} if len(last) < 3 or cut else set()
+        begun = {t for t in self.by_first[last[0]] if t.startswith(last) and t != last} if len(last) < 3 or cut else set()
         worth = [0.25 if t in LIGHT or len(t) < 2 else 1.3 for t in typed]
         most = sum(w * max(al.values(), default=0.0) for w, al in zip(worth[:-1], like)) + worth[-1]
         if 2 * most < (LEAST - 1e-6) * (most + sum(worth)):  # too many foreign words: an entry found in full would not be similar enough
@@ -261,8 +264,11 @@ def map_labels(df: DataFrame, label: str, entries: Sequence[tuple[int, str]], na
 
 
 def canonical(df: DataFrame, kinds: Sequence[str]) -> list[tuple[int, str]]:
-    """The canonical list (a fixed, small table) of some kinds."""
-    return [(r.label_id, r.label) for r in df.where(F.col("kind").isin(*kinds)).orderBy("label_id").collect()]
+    """The canonical list of some kinds; a list of more than MOST_ENTRIES raises, since every worker holds it."""
+    rows = df.where(F.col("kind").isin(*kinds)).orderBy("label_id").limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a canonical list has at most {MOST_ENTRIES} entries")
+    return [(r.label_id, r.label) for r in rows]
 
 
 def typed_rows(df: DataFrame, field: str, row_key: Column, label: str) -> DataFrame:

@@ -134,14 +134,14 @@ def p2_branching(spark: SparkSession, root: str) -> DataFrame:
 def typed_labels(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(labels of lines, labels of members) that are not an entry of the canonical list as they stand."""
     entries = table(spark, root, "canonical_labels")
-    exact = [r.label for r in entries.select("label").collect()]  # a fixed list
+    exact = small(entries.select(F.col("label").alias("typed")).distinct())
     o = table(spark, root, "concept_normalization_overrides")
     lines = labels.typed_rows(table(spark, root, "financial_facts"), "label", F.col("id").cast("string"), "label").unionByName(
         labels.typed_rows(o, "normalized_label", F.concat_ws("/", F.col("company_id").cast("string"), "statement", "concept"), "normalized_label")
     )
     members = labels.typed_rows(table(spark, root, "dimension_normalization_overrides"), "member_label", F.col("id").cast("string"), "member_label")
-    odd = F.col("typed").isNotNull() & ~F.col("typed").isin(exact)
-    return lines.where(odd), members.where(odd)
+    odd = lambda df: df.where("typed is not null").join(exact, "typed", "left_anti").select("field", "row_key", "typed")
+    return odd(lines), odd(members)
 
 
 def mapped_labels(spark: SparkSession, root: str) -> DataFrame:
