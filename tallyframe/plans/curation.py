@@ -192,9 +192,9 @@ RECORD_COLUMNS = (
 ).split()
 
 
-def override_records(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+def override_records(spark: SparkSession, root: str, columns: list[str], decided: str | None = None) -> DataFrame:
     """The uploaded override records through `load_records`."""
-    return load_records(table(spark, root, "raw_override_lines"), "line_id", ["file_name", "batch_no"], "line_no", "line", RECORD_KINDS, columns)
+    return load_records(table(spark, root, "raw_override_lines"), "line_id", ["file_name", "batch_no"], "line_no", "line", RECORD_KINDS, columns, decided)
 
 
 SQL_FIELD_TESTS = {
@@ -226,6 +226,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return override_records(spark, root, RECORD_COLUMNS).where("reason is not null").select("line_id", "reason")
 
 
+@R.add()
+def p5_decided(spark: SparkSession, root: str) -> DataFrame:
+    """How many records the reader itself refused, and how many a check of what it let pass, by reason."""
+    r = override_records(spark, root, RECORD_COLUMNS, "decided").where("reason is not null")
+    return r.groupBy("reason", "decided").agg(F.count("*").alias("records"))
+
+
 def _flag(n: str) -> str:
     x = _x.format(n=n)
     return f"CASE WHEN lower({x}) IN ('true', '1', 'yes', 't') THEN true WHEN {x} <> '' THEN false END AS {n}"

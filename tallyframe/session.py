@@ -32,10 +32,12 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
+    """Use the shared folder named by spark.checkpoint.dir; only where it is unset and all runs on one machine (tests) take a temporary one."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyframe-checkpoint-"))
 
 
