@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import BROADCAST_LIMIT, cut, gathered
 
 #: Blocks the children of one parent are spread over for their prefix sums.
 SIBLING_BLOCKS = 64
@@ -49,48 +50,56 @@ def upward(df: DataFrame, key: Sequence[str], parent: Sequence[str]) -> Upward:
     link". A link to no row leaves the node a top node marked `__missing`. A link to itself is a cycle. Rows with a
     null in the key are left out; of repeated keys the least link holds; an empty table gives empty results.
 
-    In round r every node's pointer leads 2^r links up. Its size so far, the descendants within 2^r links, is added to
-    the size of the node it points to, and the pointer is doubled; so a tree of depth d takes log2(d) + 1 rounds, each a
-    map-side combined sum and two joins on node ids. A pointer that passes the root is settled and joins no more.
+    In round r every unsettled node's pointer leads 2^r links up. Its size so far, the descendants within 2^r links, is handed to
+    the node it points to, and the pointer is doubled; so a tree of depth d takes log2(d) + 1 rounds. A node whose pointer passes the root is
+    settled: it is written once and not again, and a round only joins the unsettled nodes to what their pointers name (by broadcast once few are left).
     When a round settles no further node, those left have no root: the targets of their ever longer pointers shrink
     to exactly the nodes on cycles.
     """
     k = [f"__k{i}" for i in range(len(key))]
     start = cut(_number(df, key, parent))
-    state = start.select(
-        "__id",
-        F.col("__parent").alias("__ptr"),
-        F.when(F.col("__parent").isNull(), 0).otherwise(1).cast("long").alias("__depth"),
-        F.when(F.col("__parent").isNull(), F.col("__id")).alias("__root"),
-        F.lit(1).cast("long").alias("__size"),
-    )
-    left, targets = None, None
+    one = F.lit(1).cast("long").alias("__size")
+    settled = [start.where("__parent is null").select("__id", F.lit(0).cast("long").alias("__depth"), F.col("__id").alias("__root"))]
+    active = start.where("__parent is not null").select("__id", F.col("__parent").alias("__ptr"), F.lit(1).cast("long").alias("__depth"), one)
+    handed = []  # sizes handed up, per round
+    left = targets = None
     for _ in range(MOST_ROUNDS):
-        up = state.where("__ptr is not null").groupBy(F.col("__ptr").alias("__id")).agg(F.sum("__size").alias("__add"))
-        to = state.select(F.col("__id").alias("__ptr"), F.col("__ptr").alias("__far"), F.col("__depth").alias("__more"), F.col("__root").alias("__top"))
-        state = cut(
-            state.join(up, "__id", "left").join(to, "__ptr", "left").select(
-                "__id",
-                F.col("__far").alias("__ptr"),
-                (F.col("__depth") + F.coalesce("__more", F.lit(0))).alias("__depth"),
-                F.coalesce("__root", "__top").alias("__root"),
-                (F.col("__size") + F.coalesce("__add", F.lit(0))).alias("__size"),
-            )
-        )
-        now = state.where("__ptr is not null").agg(F.count("*"), F.countDistinct("__ptr")).first()
+        now = active.agg(F.count("*"), F.countDistinct("__ptr")).first()
         if now[0] == 0 or (now[0], now[1]) == (left, targets):
             break
         left, targets = now
+        up = active.groupBy(F.col("__ptr").alias("__id")).agg(F.sum("__size").alias("__add"))
+        handed.append(up)
+        there = reduce(DataFrame.unionByName, [t.withColumn("__far", F.lit(None).cast("long")) for t in settled]).unionByName(
+            active.select("__id", F.col("__depth"), F.lit(None).cast("long").alias("__root"), F.col("__ptr").alias("__far"))
+        )
+        to = there.select(F.col("__id").alias("__ptr"), "__far", F.col("__depth").alias("__more"), "__root")
+        grown = active.join(_few(up, left, NODE_BYTES), "__id", "left").withColumn("__size", F.col("__size") + F.coalesce("__add", F.lit(0)))
+        joined = gathered(to).join(_few(grown, left, NODE_BYTES), "__ptr")
+        moved = cut(joined.select("__id", F.col("__far").alias("__ptr"), (F.col("__depth") + F.col("__more")).alias("__depth"), "__root", "__size"))
+        settled.append(moved.where("__ptr is null").select("__id", "__depth", "__root"))
+        active = moved.where("__ptr is not null").select("__id", "__ptr", "__depth", "__size")
     else:
         raise RuntimeError("the hierarchy did not settle")
-    settled = state.where("__ptr is null").drop("__ptr")
-    nodes = start.join(settled, "__id")
-    lost = state.where("__ptr is not null")
-    on = lost.select(F.col("__ptr").alias("__id")).distinct().withColumn("__in", F.lit(True))
-    cyclic = start.join(lost.select("__id"), "__id").join(on, "__id", "left").select(*k, F.coalesce("__in", F.lit(False)).alias("__in"))
+    trees = gathered(reduce(DataFrame.unionByName, settled))
+    sums = gathered(reduce(DataFrame.unionByName, handed)).groupBy("__id").agg(F.sum("__add").alias("__add")) if handed else None
+    nodes = start.join(trees, "__id")
+    nodes = nodes.withColumn("__size", one) if sums is None else nodes.join(sums, "__id", "left").withColumn("__size", F.coalesce("__add", F.lit(0)) + 1).drop("__add")
+    lost = cut(active.select("__id", "__ptr"))
+    on = _few(lost.select(F.col("__ptr").alias("__id")).distinct().withColumn("__in", F.lit(True)), now[1], NODE_BYTES)
+    cyclic = start.join(_few(lost.select("__id"), now[0], NODE_BYTES), "__id").join(on, "__id", "left").select(*k, F.coalesce("__in", F.lit(False)).alias("__in"))
     return Upward(nodes, cyclic)
 
 
+#: Bytes of a row of node numbers in a broadcast, at most.
+NODE_BYTES = 128
+
+
+def _few(df: DataFrame, rows: int, size: float) -> DataFrame:
+    """Broadcast `df` if its counted `rows` of `size` bytes are within the limit; otherwise leave the join to shuffle."""
+    return F.broadcast(df) if rows * size <= BROADCAST_LIMIT else df
+
+
 def breaks(df: DataFrame, key: Sequence[str], parent: Sequence[str]) -> DataFrame:
     """Rows without a sound path: the key columns and `verdict` (orphan, in_cycle, below_cycle).
 
@@ -128,28 +137,30 @@ def nested_sets(df: DataFrame, key: Sequence[str], parent: Sequence[str], label:
     with lft < their lft <= rgt) and `orphan` (the top node's own link names no row). `label` is one of the key columns.
     Nodes on or below a cycle have no path and no row here; `breaks` lists them.
 
-    Sizes come from `upward`; positions are the sums of sibling prefix sums along the way down, doubled like there.
+    Sizes come from `upward`; positions are the sums of sibling prefix sums along the way down, doubled and settled like there.
     """
     k = [f"__k{i}" for i in range(len(key))]
     name = k[list(key).index(label)]
     nodes = cut(upward(df, key, parent).nodes)
-    tops = nodes.where("__parent is null").select("__id", F.lit(None).cast("long").alias("__ptr"), F.lit(0).cast("long").alias("__off"))
-    state = tops.unionByName(_sibling_starts(nodes)).join(nodes.select("__id", F.col(name).cast("string").alias("__path")), "__id")
-    state = cut(state)
+    text = nodes.select("__id", F.col(name).cast("string").alias("__path"))
+    settled = [nodes.where("__parent is null").select("__id", F.lit(0).cast("long").alias("__off"), F.col(name).cast("string").alias("__path"))]
+    active = cut(_sibling_starts(nodes).join(text, "__id"))
     for _ in range(MOST_ROUNDS):
-        if state.where("__ptr is not null").isEmpty():
+        n, size = active.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("__path")), F.lit(0.0))).first()
+        if n == 0:
             break
-        to = state.select(F.col("__id").alias("__ptr"), F.col("__ptr").alias("__far"), F.col("__off").alias("__more"), F.col("__path").alias("__head"))
-        state = cut(
-            state.join(to, "__ptr", "left").select(
-                "__id",
-                F.col("__far").alias("__ptr"),
-                (F.col("__off") + F.coalesce("__more", F.lit(0))).alias("__off"),
-                F.concat(F.coalesce(F.concat("__head", F.lit(separator)), F.lit("")), "__path").alias("__path"),
+        there = reduce(DataFrame.unionByName, [t.withColumn("__far", F.lit(None).cast("long")) for t in settled]).unionByName(active.withColumnRenamed("__ptr", "__far"))
+        to = there.select(F.col("__id").alias("__ptr"), "__far", F.col("__off").alias("__more"), F.col("__path").alias("__head"))
+        moved = cut(
+            gathered(to).join(_few(active, n, size + NODE_BYTES), "__ptr").select(
+                "__id", F.col("__far").alias("__ptr"), (F.col("__off") + F.col("__more")).alias("__off"), F.concat("__head", F.lit(separator), "__path").alias("__path")
             )
         )
+        settled.append(moved.where("__ptr is null").drop("__ptr"))
+        active = moved.where("__ptr is not null")
     else:
         raise RuntimeError("the hierarchy did not settle")
+    state = gathered(reduce(DataFrame.unionByName, settled))
     top = nodes.where("__parent is null").select(F.col("__id").alias("__root"), F.col(name).alias("root"), F.col("__missing").alias("orphan"))
     done = nodes.join(state.select("__id", "__off", "__path"), "__id").join(top, "__root")
     return done.select(

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _blocked(df: DataFrame, key: Sequence[str], moment: str, unit: str, fill: Sequence[str]) -> DataFrame:
     """Number each key's rows by `moment` in `__n` (from 1) and carry the last non-null of `fill` forward.
@@ -67,6 +69,8 @@ def versions(
     absence="deleted": every moment is a full snapshot; a key missing from the next one is `deleted` then (valid_to is
     that moment), and a later return is `inserted`.
 
+    The last rows, the numbered images and the events are each read twice, so they are written once to the checkpoint folder.
+
     Rows with a null key or moment are left out; repeated rows count once; an empty table gives no versions. Extra
     columns are ignored, so their names cannot clash.
     """
@@ -79,7 +83,7 @@ def versions(
     last = src.groupBy(*keys, "__t").agg(F.max("__s").alias("__s"))
     names = list(attributes)
     last = last.select(*keys, "__t", *[F.col(f"__s.a_{n}").alias(n) for n in names])
-    numbered = _blocked(last, keys, "__t", block, names)
+    numbered = cut(_blocked(cut(last), keys, "__t", block, names))
     moments = None
     if absence == "deleted":
         # one row per snapshot, not per entity: the list of moments is as long as there are snapshots
@@ -100,7 +104,7 @@ def versions(
         events = events.where("change <> 'deleted'")
     else:
         events = events.join(moments.withColumnRenamed("__t", "__at"), "__n").withColumn("__t", F.coalesce("__t", "__at"))
-    events = _next_moment(events, keys, "__t", block, "valid_to").where("change <> 'deleted'")
+    events = _next_moment(cut(events), keys, "__t", block, "valid_to").where("change <> 'deleted'")
     return events.select(
         *[F.col(n).alias(k) for k, n in zip(key, keys)],
         F.col("__t").alias("valid_from"),

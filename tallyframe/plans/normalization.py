@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graphs import MOST_ROUNDS, components, follow
+from ..operators.graphs import MOST_ROUNDS, components, follow, heights, spread_max
 from ..operators.hierarchy import breaks
 from ..operators.matching import best_match, drop_ambiguous, keep_first, value_matches
 from ..operators.series import flip_sign, next_matching, residual, undo_running_total, with_latest
@@ -169,29 +169,29 @@ def concepts(base: DataFrame, rules: DataFrame) -> DataFrame:
 # -- hierarchies ----------------------------------------------------------------------------------------------------
 
 
-def rule_of(left: DataFrame, record: str, rules: DataFrame, on: list[str]) -> DataFrame:
-    """The concept rule of each record: the company's own, else a global one; of several the lowest concept."""
-    flag = rules.withColumn("__rank", F.col("concept"))
-    return best_match_lowest(left, record, flag, on)
+class RuleBook:
+    """Concept rules by `on`, a company's own before the global ones; of several the lowest by `rank` holds. Prepared once, for many look-ups."""
 
+    def __init__(self, rules: DataFrame, on: list[str], rank: str = "concept"):
+        self.on, self.own_key = on, ["company_id", *on]
+        own = keep_first(rules, self.own_key, [F.asc(rank)])
+        every = keep_first(rules.where("is_global"), on, [F.asc(rank), F.asc("company_id")])
+        self.own = small(cut(own.select(*self.own_key, F.struct(*rules.columns).alias("own"))))
+        self.every = small(cut(every.select(*on, F.struct(*rules.columns).alias("every"))))
 
-def best_match_lowest(left: DataFrame, record: str, rules: DataFrame, on: list[str]) -> DataFrame:
-    own_key = ["company_id", *on]
-    own = keep_first(rules, own_key, [F.asc("__rank")])
-    every = keep_first(rules.where("is_global"), on, [F.asc("__rank"), F.asc("company_id")])
-    pack = lambda df, name: df.select(*[c for c in df.columns if c in (own_key if name == "own" else on)], F.struct(*rules.columns).alias(name))
-    lf = left.select(record, "company_id", *on)
-    j = lf.join(small(pack(own, "own")), own_key, "left").join(small(pack(every, "every")), on, "left")
-    return j.select(record, F.coalesce("own", "every").alias("rule")).where("rule is not null")
+    def of(self, left: DataFrame, record: str) -> DataFrame:
+        """(record, rule) of the records that have one."""
+        j = left.select(record, *self.own_key).join(self.own, self.own_key, "left").join(self.every, self.on, "left")
+        return j.select(record, F.coalesce("own", "every").alias("rule")).where("rule is not null")
 
 
 def hierarchies(cn: DataFrame, rules: DataFrame) -> DataFrame:
     """Child and parent concepts of the rules, expanded over the groups of concepts that mean the same."""
     c = cn.select("company_id", "statement", "concept", "group_id").withColumn("__i", F.struct("company_id", "statement", "concept"))
     r = rules.select("company_id", "is_global", "statement", "concept", "parent_concept")
-    as_child = rule_of(c, "__i", r, ["statement", "concept"])
-    by_parent = r.where("parent_concept is not null").withColumn("__rank", F.col("concept")).withColumnRenamed("concept", "child").withColumnRenamed("parent_concept", "concept")
-    as_parent = best_match_lowest(c, "__i", by_parent, ["statement", "concept"])
+    as_child = RuleBook(r, ["statement", "concept"]).of(c, "__i")
+    by_parent = r.where("parent_concept is not null").withColumnRenamed("concept", "child").withColumnRenamed("parent_concept", "concept")
+    as_parent = RuleBook(by_parent, ["statement", "concept"], "child").of(c, "__i")
     group = c.select("group_id", F.col("company_id"), F.col("statement"), F.col("concept").alias("member"))
     of = c.select("__i", F.col("group_id"))
     kids = as_child.where("rule.parent_concept is not null").join(of, "__i").select(
@@ -366,9 +366,10 @@ def normalized_rows(base: DataFrame, rules: DataFrame, cn: DataFrame, hn: DataFr
     """Facts under their normalized labels, weights, units and dimensions, and rows for ancestors nobody reported."""
     key = ["company_id", "statement", "concept"]
     base = base.withColumn("id", F.col("id").cast("string"))
-    reported = base.select("company_id", "filing_id", "statement", "concept", "id")
+    reported = cut(base.select("company_id", "filing_id", "statement", "concept", "id"))
     r = rules.select("company_id", "is_global", "statement", "concept", "normalized_label", "is_abstract", "weight", "unit", "parent_concept", "abstract_concept")
-    rule = rule_of(base, "id", r, ["statement", "concept"])
+    book = RuleBook(r, ["statement", "concept"])
+    rule = book.of(base, "id")
     j = base.join(rule, "id", "left").join(cn.select(*key, F.col("normalized_label").alias("c_label"), F.col("weight").alias("c_weight"), F.col("unit").alias("c_unit")), key, "left")
     j = j.withColumns({
         "normalized_label": F.coalesce("rule.normalized_label", "c_label", "label"),
@@ -392,9 +393,9 @@ def normalized_rows(base: DataFrame, rules: DataFrame, cn: DataFrame, hn: DataFr
         want = edge.select("company_id", "filing_id", "form_type", "statement", "period_end", "comparative_period_end", "period",
                            F.explode(F.array(F.struct(F.col("parent_concept").alias("c"), F.col("parent_id").alias("i")), F.struct(F.col("abstract_concept").alias("c"), F.col("abstract_id").alias("i")))).alias("x"))
         want = want.where("x.c is not null").select("*", F.col("x.c").alias("concept"), F.col("x.i").alias("id")).drop("x").distinct()
-        ruled = rule_of(want.select("company_id", "statement", "concept").distinct().withColumn("__i", F.struct("company_id", "statement", "concept")), "__i", r, ["statement", "concept"])
-        ruled = ruled.select(F.col("__i.company_id").alias("company_id"), F.col("__i.statement").alias("statement"), F.col("__i.concept").alias("concept"), "rule")
-        rows = _with_ancestors(want.join(ruled, ["company_id", "statement", "concept"]), hn, reported, F.lit(None).cast("string"), F.lit(None).cast("string"))
+        ruled = want.join(book.own, ["company_id", "statement", "concept"], "left").join(book.every, ["statement", "concept"], "left")
+        ruled = ruled.withColumn("rule", F.coalesce("own", "every")).where("rule is not null").drop("own", "every")
+        rows = _with_ancestors(ruled, hn, reported, F.lit(None).cast("string"), F.lit(None).cast("string"))
         zero = F.lit(0).cast(MONEY)
         return rows.select(
             "id", "company_id", "filing_id", "form_type", "concept", F.col("rule.normalized_label").alias("label"), F.col("rule.normalized_label").alias("normalized_label"),
@@ -462,10 +463,13 @@ def chain_sizes(rows: DataFrame) -> DataFrame:
     by_value = cut(start.join(to, key).where("t_value = comparative_value and t_end = comparative_period_end and t_end < period_end").select("src", "dst"))
     by_concept = start.join(by_value.select("src"), "src", "left_anti").join(to, key).where("t_concept = concept and t_end = comparative_period_end and t_end < period_end").select("src", "dst")
     edges = cut(by_value.unionByName(by_concept))
-    roots = r.where("comparative_value is not null and comparative_period_end is not null").select(F.col("node").alias("root"), "node", F.lit(1).alias("depth"))
-    walks = follow(roots, lambda at: at.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
-    size = walks.groupBy("root").agg(F.max("depth").alias("chain_size"))
-    through = walks.select("root", "node").distinct().join(size, "root").groupBy("node").agg(F.max("chain_size").alias("chain_size"))
+    # a root's size is that of the longest path down; roots that another root leads to directly are covered by it
+    deep = heights(edges, "src", "dst")
+    roots = r.where("comparative_value is not null and comparative_period_end is not null").select("node")
+    sized = cut(roots.join(deep, "node", "left").select("node", (F.coalesce("height", F.lit(0)) + 1).alias("value")))
+    below = edges.join(roots, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+    top = sized.join(below, "node", "left_anti")
+    through = spread_max(top, edges, "src", "dst").withColumnRenamed("value", "chain_size")
     return r.select("id", "node").join(through, "node").groupBy("id").agg(F.max("chain_size").alias("chain_size"))
 
 

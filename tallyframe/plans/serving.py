@@ -8,11 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graphs import follow
 from ..operators.matching import keep_first
 from ..operators.texts import begins_with, chunks
 from ..operators.vectors import similar, similar_indexed
-from ..session import small
+from ..session import cut, gathered, small
 from ..sources.tables import table
 from .curation import SQL_KEY
 from .registry import Registry
@@ -54,22 +53,34 @@ def abstract_paths(rows: DataFrame, hops: int = 50) -> DataFrame:
     """id and the labels and concepts of the abstract rows above each row, outermost first.
 
     The walk follows abstract_id among `rows` for at most `hops` links; it ends at a missing row or where it would meet a row
-    again. Only abstract rows are listed; a label is the normalized label or else the label.
+    again. Only abstract rows are listed; a label is the normalized label or else the label. Of rows with one id the least by its fields holds.
+
+    The pieces of path double in every round, so `hops` links take log2(hops) rounds, and a row whose walk has ended joins no more.
     """
-    nodes = rows.select(F.col("id").alias("at"), F.when(F.col("is_abstract"), F.struct(F.coalesce("normalized_label", "label").alias("l"), F.col("concept").alias("c"))).alias("own"), F.col("abstract_id").alias("up"))
-    none = F.array().cast("array<struct<l:string,c:string>>")
-    start = rows.select("id", F.col("abstract_id").alias("next"), F.array().cast("array<bigint>").alias("seen"), none.alias("path"), F.lit(0).alias("hop"))
-
-    def climb(edge: DataFrame) -> DataFrame:
-        j = edge.where((F.col("hop") < hops) & F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))).join(nodes, F.col("next") == F.col("at"))
-        return j.select(
-            "id", F.col("up").alias("next"), F.array_append("seen", F.col("at")).alias("seen"),
-            F.when(F.col("own").isNotNull(), F.array_prepend("path", F.col("own"))).otherwise(F.col("path")).alias("path"), (F.col("hop") + 1).alias("hop"),
-        )
-
-    walked = follow(start, climb, rounds=hops + 2)
-    last = keep_first(walked, ["id"], [F.desc("hop")])
-    return last.select("id", F.filter(F.col("path.l"), lambda x: x.isNotNull()).alias("abstracts"), F.filter(F.col("path.c"), lambda x: x.isNotNull()).alias("abstract_concepts"))
+    field = F.struct(F.col("id"), F.col("is_abstract").alias("a"), F.coalesce("normalized_label", "label").alias("l"), F.col("concept").alias("c"))
+    nodes = cut(rows.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("abstract_id").alias("up"), field.alias("own"))).alias("n")))
+    own = nodes.select(F.col("id").alias("at"), F.col("n.own").alias("own"))
+    state = nodes.select("id", F.col("n.up").alias("next")).join(own, F.col("next") == F.col("at"), "left")
+    # `next` is the row the piece ends at; a link to no row ends the walk
+    state = cut(state.select("id", F.when(F.col("own").isNotNull(), F.col("next")).alias("next"), F.array_compact(F.array("own")).alias("above")))
+    ended = []
+    length = 1
+    while length < hops:
+        ended.append(state.where("next is null"))
+        going = state.where("next is not null")
+        if going.isEmpty():
+            break
+        there = reduce(DataFrame.unionByName, [*ended, going]).select(F.col("id").alias("at"), F.col("next").alias("far"), F.col("above").alias("more"))
+        state = cut(gathered(going).join(gathered(there), F.col("next") == F.col("at")).select("id", F.col("far").alias("next"), F.concat("above", "more").alias("above")))
+        length *= 2
+    else:
+        ended.append(state)
+    walked = gathered(reduce(DataFrame.unionByName, ended)).withColumn("above", F.slice("above", 1, hops))
+    # links lead from each row to one: what comes after the first row met again has been met too
+    ids = F.transform("above", lambda x: x["id"])
+    path = F.reverse(F.filter("above", lambda x, i: (F.array_position(ids, x["id"]) == i + 1) & x["a"]))
+    walked = walked.withColumn("path", path)
+    return walked.select("id", F.filter(F.col("path.l"), lambda x: x.isNotNull()).alias("abstracts"), F.filter(F.col("path.c"), lambda x: x.isNotNull()).alias("abstract_concepts"))
 
 
 def series(rows: DataFrame) -> DataFrame:

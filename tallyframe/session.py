@@ -71,3 +71,8 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast of `df` if its estimated size is within `limit`; otherwise leave the join to shuffle."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """`df` in at most as many partitions as a shuffle makes: a union that grows by a part per round would double its tasks in every round."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
