@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +32,17 @@ def period_type_of_dates(start: Column, end: Column, form: Column) -> Column:
     return F.when(form.isin("10-K", "10-K/A"), "YTD").when(days.isNull() | (days <= 100), "Q").otherwise("YTD")
 
 
+def column_parts(name: str) -> tuple[str, str] | None:
+    """(date, mark) of a period column such as `2024-03-31 (Q1)`; the mark may be empty. Other names have no parts."""
+    m = re.fullmatch(r"(\S+)(?: (\S+))?", name)
+    return (m[1], m[2] or "") if m else None
+
+
 def comparative_column(columns: list[str], latest: str) -> str | None:
-    """The first column of the same shape (and quarter mark) as `latest` with another date."""
-    parts = latest.split(" ")
-    for c in columns:
-        other = c.split(" ")
-        if len(parts) in (1, 2) and len(other) == len(parts) and parts[0] not in c and (len(parts) == 1 or parts[1] in c):
-            return c
-    return None
+    """The first column of another date that bears the same mark as `latest` (or, as it, none)."""
+    own = column_parts(latest)
+    parted = ((c, column_parts(c)) for c in columns)
+    return next((c for c, p in parted if own and p and p[0] != own[0] and p[1] == own[1]), None)
 
 
 #: Fixed value: the namespace of object identifiers, for name-based UUIDs.

@@ -9,6 +9,8 @@ def registries() -> list:
     from .pipeline_queries import R as pipeline
     from .administration import R as administration
     from .ingest import R as ingest
+    from .loading import R as loading
+    from .retrieval import R as retrieval
     from .serving import R as serving
 
-    return [curation, pipeline, serving, ingest, administration]
+    return [curation, pipeline, serving, ingest, loading, administration, retrieval]

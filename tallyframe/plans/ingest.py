@@ -174,15 +174,23 @@ def top2_periods(spark: SparkSession, root: str) -> DataFrame:
 
 @R.add(
     """SELECT id, CASE WHEN month(fiscal_period_end) BETWEEN 3 AND 5 THEN 1 WHEN month(fiscal_period_end) BETWEEN 6 AND 8 THEN 2 WHEN month(fiscal_period_end) BETWEEN 9 AND 11 THEN 3 ELSE 4 END AS quarter,
-    CASE WHEN form_type IN ('10-K', '10-K/A') THEN 'YTD' WHEN date_diff('day', fiscal_period_end, filing_date) <= 100 THEN 'Q' ELSE 'YTD' END AS period FROM filings WHERE fiscal_period_end IS NOT NULL"""
+    CASE WHEN form_type IN ('10-K', '10-K/A') THEN 'YTD' WHEN coalesce(date_diff('day', lag(fiscal_period_end) OVER w, fiscal_period_end) <= 100, true) THEN 'Q' ELSE 'YTD' END AS period
+    FROM (SELECT * FROM filings WHERE fiscal_period_end IS NOT NULL) WINDOW w AS (PARTITION BY company_id ORDER BY fiscal_period_end, id)"""
 )
 def fiscal_periods(spark: SparkSession, root: str) -> DataFrame:
-    """Fiscal quarters and period types from dates."""
+    """Fiscal quarters, and period types from the start (the end of the company's period before) and the end of a filing's period."""
     f = table(spark, root, "filings").where("fiscal_period_end is not null")
-    return f.select("id", fiscal_quarter(F.col("fiscal_period_end")).alias("quarter"), period_type_of_dates(F.col("fiscal_period_end"), F.col("filing_date"), F.col("form_type")).alias("period"))
+    start = F.lag("fiscal_period_end").over(Window.partitionBy("company_id").orderBy("fiscal_period_end", "id"))
+    return f.select("id", fiscal_quarter(F.col("fiscal_period_end")).alias("quarter"), period_type_of_dates(start, F.col("fiscal_period_end"), F.col("form_type")).alias("period"))
 
 
-@R.add()
+_HASH = "sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(concept || '|' || statement || '|' || period_end::VARCHAR))"
+
+
+@R.add(
+    f"""SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17:17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS key
+    FROM (SELECT id, {_HASH} AS h FROM financial_facts)"""
+)
 def fact_keys(spark: SparkSession, root: str) -> DataFrame:
     """Name-based UUIDs of all facts."""
     f = table(spark, root, "financial_facts")

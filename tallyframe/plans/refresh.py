@@ -24,22 +24,35 @@ BASE = ("financial_facts", "filings")
 RULES = ("concept_normalization_overrides", "dimension_normalization_overrides", "financial_facts_overrides")
 
 
-def compute(store: TableStore, companies: Sequence[int]) -> dict[str, DataFrame]:
-    """The derived tables of some companies. Every stage works within a company, so the others need not be read."""
+def compute(store: TableStore, companies: Sequence[int] | None) -> dict[str, DataFrame]:
+    """The derived tables of some companies, or of all. Every stage works within a company, so the others need not be read."""
     base = [store.read(t, companies) for t in BASE]
     stages = Stages(*base, *[store.read(t) for t in RULES])
     return {name: stages.stage(stage) for name, stage in DERIVED.items()}
 
 
-def refresh(spark: SparkSession, store: TableStore, companies: Sequence[int] | None) -> list[str]:
-    """Recompute the derived tables of `companies`; nothing happens for none. Names of the tables written.
+def refresh(spark: SparkSession, store: TableStore, companies: Sequence[int] | None = None) -> list[str]:
+    """Recompute the derived tables of `companies`, of all that have facts or derived rows if None; nothing happens for an empty list. Names of the tables written.
 
     All results are computed before the first is stored; a company whose facts are gone ends without derived rows, and other
     companies keep theirs. Running it twice changes nothing.
     """
+    if companies is None:
+        made = compute(store, None)
+        for name, df in made.items():
+            store.write(name, df)
+        return list(made)
     if not companies:
         return []
     made = compute(store, companies)
     for name, df in made.items():
         store.replace_companies(name, df, companies)
     return list(made)
+
+
+def refresh_report(spark: SparkSession, store: TableStore, companies: Sequence[int] | None = None) -> dict[str, object]:
+    """What a refresh did, with a failure told in the report instead of raised: `success`, `tables` written and `error`."""
+    try:
+        return {"success": True, "tables": refresh(spark, store, companies), "error": None}
+    except Exception as e:  # the report is the answer to a failure
+        return {"success": False, "tables": [], "error": f"{type(e).__name__}: {e}"}

@@ -52,11 +52,28 @@ class TableStore:
         w = df.write.partitionBy("company_id") if "company_id" in df.columns and len(df.columns) > 1 else df.write
         w.parquet(f"{self.root}/{name}/{g}")
         fs, path = self._fs()
-        out = fs.create(path(f"{self.root}/{name}/CURRENT"), True)
+        # the pointer is written aside and moved, so that a reader or a crash never meets half of one
+        aside, mark = path(f"{self.root}/{name}/CURRENT.{g}"), path(f"{self.root}/{name}/CURRENT")
+        out = fs.create(aside, True)
         try:
             out.write(bytearray(json.dumps({"generation": g, "schema": df.schema.jsonValue()}).encode()))
         finally:
             out.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(mark.toUri(), self.spark._jsc.hadoopConfiguration())
+        renames = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        renames[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(aside), fs.makeQualified(mark), renames)
+
+    def clean(self, name: str) -> int:
+        """Remove the generations that are no longer current; how many there were. Not while others read them."""
+        now = self._current(name)
+        if now is None:
+            return 0
+        fs, path = self._fs()
+        old = [f.getPath() for f in fs.listStatus(path(f"{self.root}/{name}")) if f.isDirectory() and f.getPath().getName() != now["generation"]]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
 
     def replace_companies(self, name: str, df: DataFrame, companies: Sequence[int]) -> None:
         """Replace all rows of `companies`; a company without new rows ends with none, others stay as they are."""
@@ -69,13 +86,24 @@ class TableStore:
         """Delete rows; rows for which `which` is null stay."""
         self.write(name, self.read(name).where(~F.coalesce(which, F.lit(False))))
 
+    def delete_unreferenced(self, name: str, which: Column, key: str, children: Mapping[str, str]) -> None:
+        """Delete rows unless one of them is referred to: `children` names tables and their columns that hold `key`. ValueError then, KeyError if there is no such row."""
+        gone = self.read(name).where(which).select(F.col(key).alias("__k"))
+        if gone.isEmpty():
+            raise KeyError(name)
+        for child, column in children.items():
+            if self.exists(child) and not self.read(child).join(gone, F.col(column) == F.col("__k"), "left_semi").isEmpty():
+                raise ValueError(f"rows of {child} refer to {name}")
+        self.delete(name, which)
+
     def upsert(self, name: str, df: DataFrame, key: Sequence[str]) -> None:
         """Insert rows, replacing those of equal key."""
         self.write(name, upserted(self.read(name), df, key) if self.exists(name) else df)
 
     def update(self, name: str, which: Column, changes: Mapping[str, object]) -> None:
-        """Set columns of some rows; None leaves a column as it is."""
-        self.write(name, updated(self.read(name), which, changes))
+        """Set columns of some rows; None leaves a column as it is. A column `updated_at` is set to now in them."""
+        old = self.read(name)
+        self.write(name, updated(old, which, changes, "updated_at" if "updated_at" in old.columns else None))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

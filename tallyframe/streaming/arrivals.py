@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -13,8 +14,11 @@ from ..sources.store import TableStore
 
 
 def store_batch(spark: SparkSession, store: TableStore, batch: DataFrame, key: Sequence[str] = ("id",), then: Callable = refresh) -> list[int]:
-    """Upsert one batch of facts by key and refresh its companies, whose ids are returned."""
-    batch = batch.dropDuplicates(list(key))
+    """Upsert one batch of facts by key and refresh its companies, whose ids are returned.
+
+    Of several rows of one key the one with the greatest columns (in their order) holds, so that a repeated batch ends in the same state.
+    """
+    batch = batch.groupBy(*key).agg(F.max(F.struct(*[c for c in batch.columns if c not in key])).alias("__r")).select(*key, "__r.*").select(batch.columns)
     companies = sorted(r.company_id for r in batch.select("company_id").where("company_id is not null").distinct().collect())  # ids of companies, not rows
     if companies:
         store.upsert("financial_facts", batch, key)
