@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.matching import keep_first
@@ -93,6 +93,45 @@ def series(rows: DataFrame) -> DataFrame:
     )
 
 
+def financials(
+    rows: DataFrame, granularity: str = "quarterly", labels: str | None = None, normalized_labels: str | None = None, years: tuple[int | None, int | None] = (None, None),
+    quarters: tuple[int | None, int | None] = (None, None), companies: Sequence[int] | None = None, statement: str | None = None, axis: str | None = None, form: str = "full",
+) -> DataFrame:
+    """Metric series of a quarterly or yearly table, as the financials read gives them.
+
+    `labels` and `normalized_labels` are lists parted by `;`. Quarters may only be given for quarterly rows; a wrong granularity, form or bound raises ValueError.
+    `form` is `full`, `short` (values without label and fiscal fields) or `debug` (full, with concept, source, whether a value is made up, and the concepts above it).
+    Values come in reading order: by position (those without one last), the newest period first.
+    """
+    if granularity not in ("quarterly", "yearly"):
+        raise ValueError("granularity is quarterly or yearly")
+    if form not in ("full", "short", "debug"):
+        raise ValueError("form is full, short or debug")
+    if granularity == "yearly" and quarters != (None, None):
+        raise ValueError("quarters belong to quarterly rows")
+    parts = lambda s: None if s is None else [x.strip() for x in s.split(";") if x.strip()]
+    found = metric_rows(rows, companies, years, quarters, parts(labels), parts(normalized_labels), statement, axis).where("not is_abstract and value is not null")
+    key = ["company_id", "normalized_label", "statement", "axis", "member"]
+    at = F.struct(F.coalesce("position", F.lit(2**31 - 1)).alias("p"), (-F.datediff("period_end", F.lit("1900-01-01"))).alias("d"), F.col("id"))
+    fiscal = ["fiscal_year", *(["fiscal_quarter"] if granularity == "quarterly" else [])]
+    fields = [F.col("value").cast("double").alias("value"), F.col("period_end")]
+    if form != "short":
+        fields += [F.col("label"), *[F.col(c) for c in fiscal]]
+    if form == "debug":
+        found = found.join(abstract_paths(rows), "id", "left")
+        fields += [F.col("concept"), F.col("source_type"), F.col("is_synthetic"), F.col("abstract_concepts")]
+    return found.groupBy(*key).agg(
+        F.min_by("weight", at).alias("weight"), F.min_by("unit", at).alias("unit"),
+        F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct(*fields).alias("v")))), lambda s: s["v"]).alias("values"),
+    )
+
+
+def latest_yearly(rows: DataFrame, limit: int) -> DataFrame:
+    """Each company's `50 * limit` newest yearly rows that are not abstract and have no axis (ties: statement, label, id)."""
+    w = Window.partitionBy("company_id").orderBy(F.desc("period_end"), "statement", "normalized_label", "id")
+    return rows.where("not is_abstract and axis = ''").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 50 * limit).drop("__rn")
+
+
 def quarterly_table(spark: SparkSession, root: str) -> DataFrame:
     """The stored quarterly series."""
     return table(spark, root, "quarterly_financials")
@@ -162,16 +201,12 @@ def latest_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Each company's 20 latest metrics, one per period, statement and label."""
     rows = quarterly_table(spark, root).where("not is_abstract and axis = '' and normalized_label is not null")
     one = keep_first(rows, ["company_id", "period_end", "statement", "normalized_label"], [F.coalesce("position", F.lit(2**31 - 1)), F.asc("id")])
-    from pyspark.sql import Window
-
     w = Window.partitionBy("company_id").orderBy(F.desc("period_end"), "statement", "normalized_label")
     return one.withColumn("__rn", F.row_number().over(w)).where("__rn <= 20").select("id", "company_id", "period_end", "statement", "normalized_label", "value")
 
 
 def newest_facts(rows: DataFrame, filed: DataFrame, most: int = 10) -> DataFrame:
     """Each company's `most` facts of the newest filings (ties: the lower id)."""
-    from pyspark.sql import Window
-
     j = rows.join(small(filed.select(F.col("id").alias("filing_id"), "filing_date")), "filing_id")
     w = Window.partitionBy("company_id").orderBy(F.desc("filing_date"), "id")
     return j.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= most).select("id", "company_id", "concept", "value", "filing_date")
@@ -284,3 +319,28 @@ def period_integrity(spark: SparkSession, root: str) -> DataFrame:
     """Facts whose period is that of their filing."""
     g = filings(spark, root).select(F.col("id").alias("filing_id"), "fiscal_period_end")
     return facts(spark, root).join(small(g), "filing_id").where("period_end = fiscal_period_end").select("id", "filing_id")
+
+
+_YEARS = "(SELECT * FROM quarterly_financials WHERE source_type ILIKE '10-K%')"
+
+
+@R.add(
+    f"""SELECT company_id, normalized_label, statement, axis, member, count(*) AS n, sum(value::DOUBLE) AS total, string_agg(fiscal_year::VARCHAR, ',' ORDER BY coalesce(position, 2147483647), period_end DESC, id) AS years,
+    string_agg(concept, ',' ORDER BY coalesce(position, 2147483647), period_end DESC, id) AS concepts FROM {_YEARS}
+    WHERE axis = '' AND NOT is_abstract AND value IS NOT NULL AND (label ILIKE '%tax%' OR label ILIKE '%revenue%') AND fiscal_year >= 2015 GROUP BY ALL"""
+)
+def yearly_financials(spark: SparkSession, root: str) -> DataFrame:
+    """The financials read over yearly rows, in its debug form."""
+    rows = quarterly_table(spark, root).where("source_type ilike '10-K%'")
+    f = financials(rows, "yearly", labels="tax; revenue", years=(2015, None), form="debug")
+    listed = lambda c: F.array_join(F.transform("values", lambda v: v[c].cast("string")), ",")
+    return f.select(
+        "company_id", "normalized_label", "statement", "axis", "member", F.size("values").cast("bigint").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v["value"]).alias("total"),
+        listed("fiscal_year").alias("years"), listed("concept").alias("concepts"),
+    )
+
+
+@R.add(f"SELECT id, company_id FROM {_YEARS} WHERE NOT is_abstract AND axis = '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY period_end DESC, statement, normalized_label, id) <= 50")
+def yearly_latest(spark: SparkSession, root: str) -> DataFrame:
+    """Each company's 50 newest yearly rows, as a top-k report."""
+    return latest_yearly(quarterly_table(spark, root).where("source_type ilike '10-K%'"), 1).select("id", "company_id")

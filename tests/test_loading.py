@@ -70,3 +70,43 @@ def test_store_upkeep(spark, tmp_path):
     store.delete_unreferenced("parents", F.col("id") == 2, "id", {"children": "parent"})
     assert store.clean("parents") == 2 and [r.id for r in store.read("parents").collect()] == [1] and store.clean("nothing") == 0
     assert refresh_report(spark, store)["error"].startswith("KeyError")
+
+
+def test_financials_read(spark):
+    from tallyframe.plans.serving import financials
+
+    cols = "id long, company_id int, label string, normalized_label string, statement string, axis string, member string, value decimal(28,6), weight double, unit string, position int, period_end date, fiscal_year int, fiscal_quarter int, is_abstract boolean, is_synthetic boolean, source_type string, concept string, abstract_id long"
+    base = ("Income Statement", "", "")
+    rows = spark.createDataFrame([], cols)
+    for i, (label, q, value, abstract) in enumerate([("Tax paid", 1, 5, False), ("Tax paid", 2, 6, False), ("Cash", 2, None, False), ("Head", 2, None, True)]):
+        rows = rows.unionByName(spark.sql(f"select {i}L id, 1 company_id, '{label}' label, '{label}' normalized_label, '{base[0]}' statement, '' axis, '' member, cast({'null' if value is None else value} as decimal(28,6)) value, 1d weight, 'usd' unit, {i} position, date'2024-0{q}-01' period_end, 2024 fiscal_year, {q} fiscal_quarter, {abstract} is_abstract, false is_synthetic, '10-Q' source_type, 'c' concept, 3L abstract_id"))
+    got = financials(rows, labels="tax;none").collect()
+    assert [(g.normalized_label, [v.value for v in g["values"]], g["values"][0].label) for g in got] == [("Tax paid", [5.0, 6.0], "Tax paid")]
+    assert financials(rows, form="short").first()["values"][0].asDict().keys() == {"value", "period_end"}
+    assert financials(rows, form="debug").first()["values"][0].abstract_concepts == ["c"]
+    for bad in ({"granularity": "daily"}, {"granularity": "yearly", "quarters": (1, 2)}, {"quarters": (0, 4)}, {"form": "long"}):
+        with pytest.raises(ValueError):
+            financials(rows, **bad)
+
+
+def test_rules_out_and_in_again(spark):
+    from tallyframe.operators.rejects import load_records
+    from tallyframe.plans.administration import CONCEPT_HEADER, RULE_FILES, export_csv, import_rules, imported, rule_violation
+    from tallyframe.plans.curation import RECORD_KINDS
+
+    kinds = "company_id int, concept string, statement string, normalized_label string, is_abstract boolean, is_global boolean, abstract_concept string, parent_concept string, description string, unit string, weight double, updated_at timestamp"
+    old = spark.createDataFrame([(1, 'a"b', "IS", "A, or B", False, False, None, None, "", "usd", 1.0, None), (2, "h", "BS", "H", True, False, None, None, "two\\nlines", None, None, None)], kinds)
+    name, lines = export_csv(old, "concept-normalization-overrides", [1])
+    assert name == "concept-normalization-overrides-1.csv" and lines.count() == 2
+    _, lines = export_csv(old, "concept-normalization-overrides")
+    text = [r.line for r in lines.orderBy(F.asc_nulls_first("company_id"), "line_no").collect()] + ["1,c,IS,C,no,no,,,,usd,1", "1,,IS,C,no,no,,,,usd,1", "3,d,IS,D,no,no,,p,,usd,", "1,e,IS"]
+    raw = spark.createDataFrame([(i, "f", i, t) for i, t in enumerate(text, 1)], "n int, file string, no int, line string")
+    key = RULE_FILES["concept-normalization-overrides"][1]
+    records = load_records(raw, "n", ["file"], "no", "line", RECORD_KINDS, CONCEPT_HEADER)
+    judged = import_rules(records, old, key, "n", check=rule_violation()).cache()
+    assert {r.row_no: (r.outcome, r.message) for r in judged.collect()} == {
+        2: ("updated", None), 3: ("updated", None), 4: ("created", None), 5: ("error", "concept is missing"), 6: ("error", "parent without weight"), 7: ("error", "columns"),
+    }
+    assert {r.outcome for r in import_rules(records, old, key, "n", update_existing=False).where("row_no < 4").collect()} == {"skipped"}
+    new = imported(old, judged, key)
+    assert new.drop("updated_at").exceptAll(old.drop("updated_at")).count() == 1 and new.count() == 3 and new.where("updated_at is null").count() == 0
