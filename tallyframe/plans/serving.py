@@ -326,7 +326,7 @@ _YEARS = "(SELECT * FROM quarterly_financials WHERE source_type ILIKE '10-K%')"
 
 @R.add(
     f"""SELECT company_id, normalized_label, statement, axis, member, count(*) AS n, sum(value::DOUBLE) AS total, string_agg(fiscal_year::VARCHAR, ',' ORDER BY coalesce(position, 2147483647), period_end DESC, id) AS years,
-    string_agg(concept, ',' ORDER BY coalesce(position, 2147483647), period_end DESC, id) AS concepts FROM {_YEARS}
+    coalesce(string_agg(concept, ',' ORDER BY coalesce(position, 2147483647), period_end DESC, id), '') AS concepts FROM {_YEARS}
     WHERE axis = '' AND NOT is_abstract AND value IS NOT NULL AND (label ILIKE '%tax%' OR label ILIKE '%revenue%') AND fiscal_year >= 2015 GROUP BY ALL"""
 )
 def yearly_financials(spark: SparkSession, root: str) -> DataFrame:
