@@ -1,6 +1,6 @@
 """Authored cases of the pipeline's stages."""
 
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal as D
 
 import pytest
@@ -126,3 +126,12 @@ def test_refresh_replaces_companies(spark, tmp_path):
     assert {r.company_id for r in store.read("financial_facts_normalized").collect()} == {1}
     with pytest.raises(KeyError):
         store.read("nothing")
+
+
+def test_a_run_of_comparatives_may_be_long(spark):
+    day = [date(2020, 1, 1) + timedelta(k) for k in range(230)]
+    rows = [(str(k), False, 1, "s", "l", "", "", "c", D(k), day[k], D(k - 1) if k else None, day[k - 1] if k else None) for k in range(230)]
+    rows += [("900", False, 1, "s", None, "", "", "c", D(1), day[1], D(0), day[0]), ("901", False, 1, "s", "m", "", "", "c", None, day[0], None, None), ("902", False, 1, "s", "m", "", "", "c", D(5), day[1], D(4), day[0])]
+    df = spark.createDataFrame(rows, "id string, is_synthetic boolean, company_id int, statement string, normalized_label string, axis string, member string, concept string, value decimal(28,6), period_end date, comparative_value decimal(28,6), comparative_period_end date")
+    got = {r.id: r.chain_size for r in N.chain_sizes(df).collect()}
+    assert got == {str(k): 230 for k in range(230)} | {"900": 1, "901": 2, "902": 2}
