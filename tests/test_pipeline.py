@@ -135,3 +135,10 @@ def test_a_run_of_comparatives_may_be_long(spark):
     df = spark.createDataFrame(rows, "id string, is_synthetic boolean, company_id int, statement string, normalized_label string, axis string, member string, concept string, value decimal(28,6), period_end date, comparative_value decimal(28,6), comparative_period_end date")
     got = {r.id: r.chain_size for r in N.chain_sizes(df).collect()}
     assert got == {str(k): 230 for k in range(230)} | {"900": 1, "901": 2, "902": 2}
+
+
+def test_a_repeated_id_takes_the_rule_of_its_own_concept(spark):
+    rule = lambda c: (0, c, "Income Statement", c.upper(), False, True, None, "usd", D(1), None, None)
+    facts = [fact(1, concept="a"), fact(1, concept="b"), fact(1, concept="b")]
+    got = [(r.concept, r.normalized_label) for r in stages(spark, facts, rules=[rule("a"), rule("b")]).stage("rows").collect()]
+    assert sorted(got) == [("a", "A"), ("b", "B")]
