@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import small
+from ..session import BROADCAST_LIMIT, estimated_bytes, small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,6 +39,63 @@ def similar(
     return met.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= top).drop("__rn")
 
 
+def similar_to_few(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, top: int, least: float = -1.0) -> DataFrame:
+    """Like `similar`, with the queries sent along with the code; those too large for that are left to `similar`.
+
+    numpy over whole batches, in the same order of sums, so the similarities are the same to the last bit: the expressions there take each place of each pair apart.
+    """
+    if estimated_bytes(queries) > BROADCAST_LIMIT:
+        return similar(rows, queries, row_id, query_id, vector, top, least)
+    asked = [(r[0], r[1]) for r in queries.select(query_id, vector).collect() if r[1] and None not in r[1]]  # within the limit of a broadcast
+    query, row = queries.schema[query_id].dataType, rows.schema[row_id].dataType
+    query_type = to_arrow_type(query)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Sums of products of the last places, in their order."""
+            out = 0.0
+            for i in range(a.shape[-1]):
+                out = out + a[..., i] * b[..., i]
+            return out
+
+        def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = np.sqrt(product(v, v))
+            return v[n > 0] / n[n > 0, None], np.flatnonzero(n > 0)
+
+        by_size: dict[int, list] = {}
+        for q, v in asked:
+            by_size.setdefault(len(v), []).append((q, v))
+        sets = {d: (qs, *scaled(np.array([v for _, v in qs], dtype=np.float64))) for d, qs in by_size.items()}
+        for b in batches:
+            ids, vectors = b.column(0), b.column(1)
+            sizes = np.array(vectors.value_lengths().fill_null(0))
+            found: tuple[list, list, list] = ([], [], [])
+            for d, (qs, w, asking) in sets.items():
+                at = np.flatnonzero(sizes == d)
+                if not len(at):
+                    continue
+                flat = vectors.take(pa.array(at)).flatten()
+                held = np.array(flat.is_valid()).reshape(-1, d).all(axis=1)
+                v, sound = scaled(flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, d)[held])
+                at = at[held][sound]
+                for k, x in zip(asking, w):
+                    s = product(v, x)
+                    near = np.flatnonzero(s > least)
+                    if len(near) > top:  # with all that tie with the last of them
+                        near = near[s[near] >= np.partition(s[near], len(near) - top)[len(near) - top]]
+                    found[0].extend([qs[k][0]] * len(near))
+                    found[1].extend(ids.take(pa.array(at[near])).to_pylist())
+                    found[2].extend(s[near].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], query_type), pa.array(found[1], ids.type), pa.array(found[2], pa.float64())], ["query_id", "row_id", "similarity"])
+
+    schema = f"query_id {query.simpleString()}, row_id {row.simpleString()}, similarity double"
+    met = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("v")).mapInArrow(best, schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("row_id"))
+    return met.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= top).drop("__rn")
+
+
 def planes(dimension: int, count: int, seed: int) -> list[list[float]]:
     """Random hyperplanes through the origin."""
     import numpy as np

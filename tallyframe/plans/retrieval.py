@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.texts import CHUNK, OVERLAP, chunks
-from ..operators.vectors import similar
+from ..operators.vectors import similar_to_few
 from ..sources.store import TableStore
 from ..sources.tables import table
 from .registry import Registry
@@ -32,11 +32,15 @@ def hashed(text: Column, dimension: int = DIMENSION) -> Column:
         import numpy as np
         import xxhash
 
-        out = []
+        out, known = [], {}
         for t in texts:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", (t or "").lower())], dtype=np.uint64)
+            words = re.findall(r"\w+", (t or "").lower())
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            h = np.array([known[w] for w in words], dtype=np.uint64)
             sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-            out.append(np.bincount((h % np.uint64(dimension)).astype(np.int64), weights=sign, minlength=dimension).tolist())
+            out.append(np.bincount((h % np.uint64(dimension)).astype(np.int64), weights=sign, minlength=dimension))
         return pd.Series(out)
 
     return F.pandas_udf(vectors, "array<double>")(text)
@@ -66,7 +70,7 @@ def clear_documents(store: TableStore, name: str = "chunks") -> None:
 def retrieve(stored: DataFrame, questions: DataFrame, question_id: str, question: str, top: int = 5, embed: Callable[[Column], Column] = hashed) -> DataFrame:
     """query_id, row_id (the chunk's) and similarity of the `top` chunks nearest to each question."""
     q = questions.select(F.col(question_id).alias("__q"), embed(F.col(question)).alias("embedding"))
-    return similar(stored.select("chunk_id", "embedding"), q, "chunk_id", "__q", "embedding", top)
+    return similar_to_few(stored.select("chunk_id", "embedding"), q, "chunk_id", "__q", "embedding", top)
 
 
 def answer(spark: SparkSession, stored: DataFrame, question: str, respond: Callable[[str, Sequence[str]], str], top: int = 5, embed: Callable[[Column], Column] = hashed) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.periods import comparative_column, fiscal_quarter, iso_date, period_type_of_column, uuid5
 from tallyframe.operators.texts import chunks
-from tallyframe.operators.vectors import similar, similar_indexed
+from tallyframe.operators.vectors import similar, similar_indexed, similar_to_few
 from tallyframe.plans.administration import csv_lines, rule_violation
 from tallyframe.plans.ingest import filled_share, latest_two, melt_statement, resolve_keys, single_values, unambiguous_members
 from tallyframe.plans.serving import abstract_paths, facts_by_concept_folded, in_reading_order, metric_rows, search_companies, series, similarity_indexed
@@ -151,3 +151,10 @@ def test_arrivals(spark, tmp_path):
     store.upsert("financial_facts", new.where("id = 2").distinct().withColumn("x", F.lit("e")), ["id"])
     store.replace_companies("financial_facts", new.limit(0), [7])
     assert [(r.id, r.x) for r in store.read("financial_facts").collect()] == [(2, "e")]
+
+
+def test_few_queries_meet_all_rows_as_pairs_do(spark):
+    df = spark.createDataFrame([(i, [float((i * k) % 7 - 3) for k in range(1, 6)]) for i in range(60)] + [(90, None), (91, []), (92, [0.0] * 5), (93, [1.0, None, 1.0, 1.0, 1.0]), (94, [1.0, 2.0])], "id int, v array<double>")
+    for q in (df.where("id % 9 = 0 or id > 90"), df.where("id < 0")):
+        args = (df, q, "id", "id", "v", 3)
+        assert sorted(similar_to_few(*args).collect()) == sorted(similar(*args).collect())
