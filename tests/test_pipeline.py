@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.plans import normalization as N
+from tallyframe.plans import pipeline_queries
 from tallyframe.plans.refresh import refresh
 from tallyframe.plans.warehouse import Stages
 from tallyframe.sources.store import TableStore
@@ -142,3 +143,19 @@ def test_a_repeated_id_takes_the_rule_of_its_own_concept(spark):
     facts = [fact(1, concept="a"), fact(1, concept="b"), fact(1, concept="b")]
     got = [(r.concept, r.normalized_label) for r in stages(spark, facts, rules=[rule("a"), rule("b")]).stage("rows").collect()]
     assert sorted(got) == [("a", "A"), ("b", "B")]
+
+
+def test_missing_ancestors_come_without_the_rows_of_facts(spark, monkeypatch):
+    rule = lambda c, parent=None, abstract=None: (0, c, "Income Statement", c.upper(), False, True, None, "usd", D(1), parent, abstract)
+    facts = [fact(1, concept="a", axis="x", member="m"), fact(2, concept="a", axis="x", member="n"), fact(3, concept="pp", axis="x", member="m"), fact(4, concept="pp", axis="x", member="n"), fact(5, filing=2, concept="a")]
+    s = stages(spark, facts, rules=[rule("a", "p"), rule("p", "pp", "h"), rule("pp"), rule("h", None, "unruled"), rule("b", "p")])
+    rows = lambda *_: pytest.fail("a fact stands in a row for each of its links, which nothing here needs")
+    monkeypatch.setattr(N, "normalized_rows", rows)
+    monkeypatch.setattr(N, "dimensions", rows)
+    monkeypatch.setattr(pipeline_queries, "stages", lambda *_: s)
+    key = lambda c, filing: f"Income Statement|{c}|{filing}|1"
+    got = sorted(((r.id, r.parent_id, r.abstract_id) for r in pipeline_queries.synthetic_ancestors(spark, "").collect()), key=str)
+    assert got == sorted([
+        (key("p", 1), "3", key("h", 1)), (key("p", 1), "4", key("h", 1)), (key("h", 1), None, key("unruled", 1)),
+        (key("p", 2), key("pp", 2), key("h", 2)), (key("h", 2), None, key("unruled", 2)), (key("pp", 2), None, None),
+    ], key=str)
